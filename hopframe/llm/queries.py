@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hopframe.llm import decontam, packing
+from hopframe.llm import decontam, ngram_join, packing
 from hopframe.llm.common import table
 
 
@@ -12,12 +12,17 @@ def op3_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents"), capacity=1024))
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"), k=5, percent=80).drop("class_id")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10))
 
 
 QUERIES = {
     "op3_harmonic_packing": op3_harmonic_packing,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_decontamination": op10_decontamination,
 }
 
