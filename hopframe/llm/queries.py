@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hopframe.llm import decontam, ngram_join, packing
+from hopframe.llm import decontam, license_scan, media, ngram_join, packing, url_filter
 from hopframe.llm.common import table
 
 
@@ -12,6 +13,44 @@ def op3_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents"), capacity=1024))
 
 
+def op5_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.read_back(media.texts_to_media(table(spark, sf_dir, "documents")))
+
+
+def op7_temporal_list_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages carry no date: a page counts as fetched on day ``page_id mod 366`` of 2024."""
+    fetched = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("page_id", F.lit(366)).cast("int"))
+    captures = table(spark, sf_dir, "pages").select("page_id", "url", fetched.alias("fetched_on"))
+    entries = spark.createDataFrame(url_filter.ENTRIES, "pattern string, listed_on string, action string")
+    return url_filter.blocked(captures, entries, "page_id", "url", "fetched_on")
+
+
+_ENTRIES_SQL = ", ".join(f"('{p}', DATE '{d}', '{a}')" for p, d, a in url_filter.ENTRIES)
+
+OP7_SQL = f"""
+WITH entries(pattern, valid_from, action) AS (VALUES {_ENTRIES_SQL}),
+one AS (SELECT pattern, valid_from, max(action) AS action FROM entries GROUP BY pattern, valid_from),
+spans AS (SELECT *, lead(valid_from) OVER (PARTITION BY pattern ORDER BY valid_from) AS valid_to FROM one),
+seen AS (
+  SELECT page_id,
+    nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '') AS host,
+    CAST(DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS DATE) AS fetched_on
+  FROM pages),
+met AS (
+  SELECT s.page_id, s.host, s.fetched_on, e.pattern, e.action, e.valid_from,
+    row_number() OVER (PARTITION BY s.page_id ORDER BY length(e.pattern) DESC NULLS LAST) AS r
+  FROM seen s LEFT JOIN spans e
+    ON (s.host = e.pattern OR ends_with(s.host, '.' || e.pattern))
+    AND e.valid_from <= s.fetched_on AND (e.valid_to IS NULL OR s.fetched_on < e.valid_to))
+SELECT page_id, host, fetched_on, pattern, action, valid_from, coalesce(action = 'block', false) AS blocked
+FROM met WHERE r = 1
+"""
+
+
+def op8_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"), k=5, percent=80).drop("class_id")
 
@@ -22,8 +61,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_harmonic_packing": op3_harmonic_packing,
+    "op5_iso_media": op5_iso_media,
+    "op7_temporal_list_join": op7_temporal_list_join,
+    "op8_license_diagonals": op8_license_diagonals,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op7_temporal_list_join": OP7_SQL,
+}
