@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopframe.llm import decontam, license_scan, media, ngram_join, packing, url_filter
+from hopframe.llm import decontam, license_scan, media, ngram_join, packing, pii, toxicity, url_filter
 from hopframe.llm.common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_all(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents"), capacity=1024))
 
@@ -17,6 +21,10 @@ def op5_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_back(media.texts_to_media(table(spark, sf_dir, "documents")))
 
 
+def op6_pii_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(pii.detect(table(spark, sf_dir, "documents")))
+
+
 def op7_temporal_list_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages carry no date: a page counts as fetched on day ``page_id mod 366`` of 2024."""
     fetched = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("page_id", F.lit(366)).cast("int"))
@@ -60,8 +68,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op3_harmonic_packing": op3_harmonic_packing,
     "op5_iso_media": op5_iso_media,
+    "op6_pii_field": op6_pii_field,
     "op7_temporal_list_join": op7_temporal_list_join,
     "op8_license_diagonals": op8_license_diagonals,
     "op9_ngram_jaccard": op9_ngram_jaccard,
