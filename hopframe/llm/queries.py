@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopframe.llm import decontam, license_scan, media, ngram_join, packing, pii, toxicity, url_filter
+from hopframe.llm import decontam, license_scan, media, ngram_join, packing, pii, quality, token_counts, toxicity, url_filter
 from hopframe.llm.common import table
 
 
@@ -13,10 +13,21 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_all(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each line of each document; a token that crosses a line's end counts where it begins."""
+    return token_counts.attribute(table(spark, sf_dir, "documents"), rule="start")
+
+
 def op3_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents"), capacity=1024))
 
 
+def op4_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.withColumn("kept", F.col("score") >= 0.5)
+
+
 def op5_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_back(media.texts_to_media(table(spark, sf_dir, "documents")))
 
@@ -69,7 +80,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_token_attribution": op2_token_attribution,
     "op3_harmonic_packing": op3_harmonic_packing,
+    "op4_quality_cotraining": op4_quality_cotraining,
     "op5_iso_media": op5_iso_media,
     "op6_pii_field": op6_pii_field,
     "op7_temporal_list_join": op7_temporal_list_join,
