@@ -50,3 +50,16 @@ def test_every_id_once_without_padding(spark):
 
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_token_starts_equal_the_tokenizers_offsets():
+    from tokenizers import Tokenizer
+
+    t, e = Tokenizer.from_file(vocabulary()), PieceEncoder(vocabulary(), spans=True)
+    texts = ["héllo wörld 漢字漢字 it's  two\n x", "plain words, with  gaps ", "", "ñandú 🙂 🙂🙂 end"]
+    for x, pieces in zip(texts, e.encode(texts), strict=True):
+        got, at = [], 0
+        for chars, starts in pieces:
+            got += (np.frombuffer(starts, "<u4") + at).tolist()
+            at += chars
+        assert got == [a for a, _ in t.encode(x, add_special_tokens=False).offsets] and at == len(x)
