@@ -134,10 +134,10 @@ class Compiler:
             p.sure = True
 
     def _prop(self, state: State, p: Position, prop: str) -> tuple[Column, T.DataType]:
-        column, kind = self.frames.column_type(p, prop)
-        if column != p.id:
+        columns, kind = self.frames.column_type(p, prop)
+        if columns != [p.id]:
             self._load(state, p)
-        return F.col(f"`{column}`"), kind
+        return (F.col(f"`{columns[0]}`") if len(columns) == 1 else F.coalesce(*(F.col(f"`{c}`") for c in columns))), kind
 
     def _test(self, state: State, p: Position, prop: str, arg) -> Column:
         op, value = predicate(arg)
@@ -290,7 +290,6 @@ class Compiler:
         self._join_left(state, left)
         state.path.append(p)
         state.kind = "edge"
-        state.edge_root = False
 
     _do_outE = _do_inE = _do_bothE = _edge_step
 
@@ -326,10 +325,9 @@ class Compiler:
         state.path.append(p)
         state.kind = "vertex"
         later = {s.name for s in rest} & {"as", "path", "select"}
-        if state.edge_root and not later and not state.aliases:  # endpoint vertices of an edge query are distinct
+        if state.edge_root and len(state.path) == 2 and not later and not state.aliases:  # endpoint vertices of an edge query are distinct
             on = [p.id, p.label] if len(reached) > 1 else [p.id]
             state.df = state.df.select(*on).distinct()
-            state.edge_root = False
             state.shared.clear()
         elif state.way != "paths":
             self._narrow(state, p)
@@ -556,7 +554,7 @@ class Compiler:
             state.shared[key] = str(100 + len(state.shared))
             q = Position(int(state.shared[key]), "vertex", (label,))
             state.df = state.df.join(self.frames.vertices(q), F.col(e.end("src" if end == "outV" else "dst")) == F.col(q.id))
-        return F.col(f"`{self.frames.column_type(Position(int(state.shared[key]), 'vertex', (label,)), prop)[0]}`")
+        return F.col(f"`{self.frames.column_type(Position(int(state.shared[key]), 'vertex', (label,)), prop)[0][0]}`")
 
     def _do_path(self, state: State, step: Plan, rest: list[Plan]) -> None:
         self._element(state, "path")

@@ -104,10 +104,11 @@ class Frames:
         v = self.mapping.vertex(label)
         return e.integrity or (e.table == v.table and e.datasource == v.datasource and (e.src if out else e.dst) == v.id)
 
-    def column_type(self, p: Position, prop: str) -> tuple[str, T.DataType]:
-        """The frame's column of a property and its type."""
+    def column_type(self, p: Position, prop: str) -> tuple[list[str], T.DataType]:
+        """The frame's columns of a property, of which each row has one, and its type."""
         special = {"id": p.id} if p.kind == "vertex" else {"id": p.id, "outV": p.end("src"), "inV": p.end("dst")}
-        found = None
+        found: list[str] = []
+        first: T.DataType = T.StringType()
         for label in p.labels:
             told = self.mapping.vertex(label) if p.kind == "vertex" else self.mapping.edge(label)
             df = self.table(told.table, told.datasource)
@@ -116,18 +117,18 @@ class Frames:
             elif prop in special:
                 name = {p.id: told.id, p.end("src"): getattr(told, "src", None), p.end("dst"): getattr(told, "dst", None)}[special[prop]]
                 kind = next((f.dataType for f in df.schema if name and f.name.lower() == name.lower()), T.LongType())
-                return special[prop], T.LongType() if isinstance(kind, _WHOLE) else kind
+                return [special[prop]], T.LongType() if isinstance(kind, _WHOLE) else kind
             else:
                 continue
             field_ = next((f for f in df.schema if f.name.lower() == column.lower()), None)
             if field_ is None:
                 raise QueryError(f"table {told.table} has no column {column!r}, to which {label}.{prop} is mapped")
-            if found and found[0] != p.raw(field_.name):
-                raise QueryError(f"{prop!r} is another column in each of {', '.join(p.labels)}")
-            found = (p.raw(field_.name), field_.dataType)
+            if p.raw(field_.name) not in found:
+                found.append(p.raw(field_.name))
+            first = first if len(found) > 1 else field_.dataType
         if not found:
             raise QueryError(f"{' or '.join(p.labels)} has no property {prop!r}")
-        return found
+        return found, first
 
     def has_property(self, p: Position, prop: str) -> bool:
         try:
