@@ -6,7 +6,8 @@
    A group of any size is thus linked by as many pairs as it has members.
 3. The token-group matrix holds, for the tokens by which a link must show (a prefix in an order
    of rising frequency), the groups whose union of tokens has them. A group is cut into parts
-   of bounded size. A class meets a part of another group only over such a token, with sizes that allow a link.
+   of bounded size. A class meets a part of another group only over such tokens, if their number
+   and both sizes allow a link: what two prefixes do not share, the rest of one of the sets must.
 4. For each such pair the overlap with the part's whole union bounds the overlap with any
    member. Only parts whose bound reaches the threshold are opened, and members verified.
 
@@ -21,9 +22,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from hopframe.llm.common import drop_written, map_rows, written
+from hopframe.llm.common import drop_written, map_rows, release, written
 from hopframe.llm.components import components
 from hopframe.llm.shingles import digests, mix, shingle_sets
 
@@ -78,18 +78,17 @@ def bucket_ranks(counts: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, ranks, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(token, d1, near): the tokens of which two linked sets share one, once a class and task.
+    """(token, d1): the tokens of which two linked sets share one, once a class and task.
 
     Tokens are put in order by their bucket's rank, then by themselves. A token's 64 bits are
-    replaced one to one by that order. ``near`` marks the shorter prefix that suffices for the
-    smaller of two sets.
+    replaced one to one by that order. A set of n has n - ceil(n * percent / 100) + 1 of them.
     """
 
     def run(batches):
         rank, seen = ranks.value, set()
         shift, rest = np.uint64(64 - BUCKET_BITS), np.uint64((1 << (64 - BUCKET_BITS)) - 1)
         for ids, texts in batches:
-            token, owner, near = [], [], []
+            token, owner = [], []
             for i, s in zip(ids, shingle_sets(texts, k), strict=True):
                 n = len(s)
                 if not n or i is None:
@@ -100,31 +99,44 @@ def prefixes(docs: DataFrame, ranks, k: int, percent: int, id_col: str, text_col
                 seen.add(d)
                 key = (rank[(s >> shift).astype(np.int64)] << shift) | (s & rest)
                 p = n - -(-percent * n // 100) + 1
-                q = n - -(-2 * percent * n // (100 + percent)) + 1
-                top = np.sort(np.partition(key, p - 1)[:p] if p < n else key)
+                top = np.partition(key, p - 1)[:p] if p < n else key
                 token.append(top.view(np.int64))
                 owner.append(np.full(len(top), d[0]))
-                near.append(np.arange(len(top)) < q)
             if token:
                 import pyarrow as pa
 
-                yield tuple(pa.array(np.concatenate(x)) for x in (token, owner, near))
+                yield tuple(pa.array(np.concatenate(x)) for x in (token, owner))
 
-    return map_rows(docs, [(id_col, "long"), (text_col, "binary")], [("token", "long"), ("d1", "long"), ("near", "boolean")], run)
+    return map_rows(docs, [(id_col, "long"), (text_col, "binary")], [("token", "long"), ("d1", "long")], run)
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, tokens) of the documents with these ids, once each; tokens are sorted 64-bit hashes."""
-    wanted = ids.select(F.col("doc_id").cast("long").alias("_id")).distinct()
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    picked = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_text")).join(wanted, "_id", "left_semi")
+def sets_of(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, tokens) of the documents whose id and digest d1 are wanted; tokens are sorted 64-bit hashes.
+
+    A row that repeats another gives the same set again, unless one task sees both.
+    """
+    wanted = written(wanted.select("doc_id", "d1").distinct())
+    few = wanted.count() <= BROADCAST_IDS
+    hint = F.broadcast if few else lambda df: df
+    ids = hint(wanted.select(F.col("doc_id").alias("_id")).distinct())
+    picked = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_text")).join(ids, "_id", "left_semi")
 
     def run(batches):
+        seen = set()
         for got, texts in batches:
-            yield got, [s.tobytes() for s in shingle_sets(texts, k)]
-
-    found = map_rows(picked, [("_id", "long"), ("_text", "binary")], [("doc_id", "long"), ("tokens", "binary")], run)
-    return found.groupBy("doc_id").agg(F.min("tokens").alias("tokens"))
+            rows = []
+            for i, s in zip(got, shingle_sets(texts, k), strict=True):
+                d = digests(s)[0]
+                if (i, d) not in seen:
+                    seen.add((i, d))
+                    rows.append((i, d, s.tobytes()))
+            if rows:
+                yield tuple(zip(*rows, strict=True))
+
+    found = map_rows(picked, [("_id", "long"), ("_text", "binary")], [("doc_id", "long"), ("d1", "long"), ("tokens", "binary")], run)
+    out = written(found.join(hint(wanted), ["doc_id", "d1"], "left_semi").select("doc_id", "tokens"))
+    drop_written(wanted)
+    return out
 
 
 def common(pairs: DataFrame, keep: list[str], a: str, b: str) -> DataFrame:
@@ -176,39 +188,30 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
         each.where("doc_id is not null and n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.first("low").alias("low"))
     )
     # 2: groups
-    low = classes.select("rep", "n", F.posexplode("low").alias("pos", "value"))
-    buckets = low.groupBy("pos", "value").agg(F.min("rep").alias("pivot"), F.count("*").alias("c")).where("c > 1").drop("c")
-    pairs = low.join(buckets, ["pos", "value"]).where("rep <> pivot").groupBy("rep", "pivot").agg(F.count("*").alias("agree"))
-    best = keep(pairs.groupBy("rep").agg(F.max(F.struct("agree", (-F.col("pivot")).alias("p"))).alias("b")).where(f"b.agree >= {HASHES // 4}").select("rep", (-F.col("b.p")).alias("pivot")))
-    size = classes.select(F.col("rep").alias("doc_id"), F.col("n").cast("long").alias("n"))
-    links = keep(_verified(docs, best.select(F.col("rep").alias("a"), F.col("pivot").alias("b")), size, k, percent, id_col, text_col))
+    links = keep(_stars(docs, classes, k, percent, id_col, text_col))
     groups = components(links, "a", "b")
     temporary.append(groups)
+    release(spark)
     # 3: the matrix
-    ranks = spark.sparkContext.broadcast(bucket_ranks(first.where("bucket is not null")))
-    post = keep(prefixes(docs, ranks, k, percent, id_col, text_col))
-    shared = post.groupBy("token").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi"), F.max("near").alias("any")).where("lo < hi and any").select("token")
-    member = classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n", "d1", F.coalesce("component", "rep").alias("grp"))
-    parts = member.groupBy("grp").agg(F.ceil(F.sum("n") / PART_TOKENS).alias("parts"))
-    member = keep(member.join(parts, "grp").select("rep", "n", "d1", "grp", F.concat_ws("/", "grp", F.pmod(F.xxhash64("rep"), "parts")).alias("part")))
-    entry = keep(post.join(shared, "token", "left_semi").join(member, "d1").select("token", "rep", "n", "grp", "part", "near").distinct())
-    matrix = entry.groupBy("token", "grp", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("near").alias("p_near"))
-    matrix = matrix.select("token", F.col("grp").alias("p_grp"), F.col("part").alias("p_part"), "least", "most", "p_near")
-    met = entry.join(matrix, "token").where(
-        f"grp > p_grp and (near or p_near) and 100 * most >= {percent} * n and {percent} * least <= 100 * n"
-    )
-    met = keep(met.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("p_part").alias("part")).distinct())
+    member = keep(_members(classes, groups))
+    met = keep(_met(docs, first.where("bucket is not null"), member, k, percent, id_col, text_col))
+    release(spark)
     # 4: bounds, then members
-    inside = keep(member.join(met.select("part").distinct(), "part", "left_semi").select("part", F.col("rep").alias("doc_id"), F.col("n").alias("nb")))
-    sets = keep(sets_of(docs, met.select(F.col("a").alias("doc_id")).union(inside.select("doc_id")), k, id_col, text_col))
-    unions = _union_of_parts(inside.join(sets, "doc_id").select("part", "tokens"))
+    inside = keep(member.join(met.select("part").distinct(), "part", "left_semi").select("part", F.col("rep").alias("b"), F.col("n").alias("nb"), "d1"))
+    wanted = member.join(met.select(F.col("a").alias("rep")), "rep", "left_semi").select(F.col("rep").alias("doc_id"), "d1")
+    sets = sets_of(docs, wanted.union(inside.select("b", "d1")), k, id_col, text_col)
+    temporary.append(sets)
     of_a = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta"))
-    opened = keep(common(met.join(of_a, "a").join(unions, "part"), ["a", "na", "part"], "ta", "u").where(f"100 * both >= {percent} * na").drop("both"))
-    of_b = inside.join(sets, "doc_id").select("part", F.col("doc_id").alias("b"), "nb", F.col("tokens").alias("tb"))
+    of_b = inside.join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb")), "b")
+    unions = _union_of_parts(of_b.select("part", F.col("tb").alias("tokens")))
+    opened = common(met.join(of_a, "a").join(unions, "part"), ["a", "na", "part"], "ta", "u").where(f"100 * both >= {percent} * na")
+    opened = keep(opened.select("a", "na", "part").distinct())
     tried = opened.join(of_b, "part").where(f"100 * nb >= {percent} * na and 100 * na >= {percent} * nb").join(of_a, "a")
     more = keep(common(tried, ["a", "b", "na", "nb"], "ta", "tb").where(linked(percent)).select("a", "b"))
+    release(spark)
     if more.limit(1).count():
         groups = components(links.select("a", "b").union(more), "a", "b")
+        temporary.append(groups)
     found = groups.select(F.col("node").alias("rep"), "component")
     named = each.select("doc_id", "n", "d1", "d2").join(classes.select("n", "d1", "d2", "rep"), ["n", "d1", "d2"], "left").join(found, "rep", "left")
     alone = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
@@ -218,18 +221,51 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
     return out
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, size: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) that are linked."""
-    sized = pairs.join(size.select(F.col("doc_id").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("doc_id").alias("b"), F.col("n").alias("nb")), "b")
+def _stars(docs: DataFrame, classes: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Verified links (a, b) of classes a with the one smaller class b that shares most minimum hashes."""
+    low = classes.select("rep", F.posexplode("low").alias("pos", "value"))
+    buckets = low.groupBy("pos", "value").agg(F.min("rep").alias("pivot"), F.count("*").alias("c")).where("c > 1").drop("c")
+    pairs = low.join(buckets, ["pos", "value"]).where("rep <> pivot").groupBy("rep", "pivot").agg(F.count("*").alias("agree"))
+    best = pairs.groupBy("rep").agg(F.max(F.struct("agree", (-F.col("pivot")).alias("p"))).alias("b"))
+    best = best.where(f"b.agree >= {HASHES // 4}").select(F.col("rep").alias("a"), (-F.col("b.p")).alias("b"))
+    size = classes.select("rep", "n", "d1")
+    sized = best.join(size.toDF("a", "na", "da"), "a").join(size.toDF("b", "nb", "db"), "b")
     sized = written(sized.where(f"100 * nb >= {percent} * na and 100 * na >= {percent} * nb"))
-    sets = written(sets_of(docs, sized.select(F.col("a").alias("doc_id")).union(sized.select(F.col("b").alias("doc_id"))), k, id_col, text_col))
-    both = sized.join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb")), "b")
-    out = written(common(both, ["a", "b", "na", "nb"], "ta", "tb").where(linked(percent)).select("a", "b"))
+    sets = sets_of(docs, sized.select(F.col("a").alias("doc_id"), F.col("da").alias("d1")).union(sized.select("b", "db")), k, id_col, text_col)
+    both = sized.join(sets.toDF("a", "ta"), "a").join(sets.toDF("b", "tb"), "b")
+    out = written(common(both, ["a", "b", "na", "nb"], "ta", "tb").where(linked(percent)).select("a", "b").distinct())
     drop_written(sized)
     drop_written(sets)
     return out
 
 
+def _members(classes: DataFrame, groups: DataFrame) -> DataFrame:
+    """(rep, n, d1, grp, part): each class with its group and the part of bounded size that it falls into."""
+    member = classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n", "d1", F.coalesce("component", "rep").alias("grp"))
+    parts = member.groupBy("grp").agg(F.ceil(F.sum("n") / PART_TOKENS).alias("parts"))
+    return member.join(parts, "grp").select("rep", "n", "d1", "grp", F.concat_ws("/", "grp", F.pmod(F.xxhash64("rep"), "parts")).alias("part"))
+
+
+def _met(docs: DataFrame, loads: DataFrame, member: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(a, na, part): the classes and parts of other groups that meet over a token of their prefixes."""
+    ranks = docs.sparkSession.sparkContext.broadcast(bucket_ranks(loads))
+    post = written(prefixes(docs, ranks, k, percent, id_col, text_col))
+    shared = post.groupBy("token").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi"))
+    shared = written(shared.where("lo < hi").select("token"))
+    release(docs.sparkSession)
+    entry = written(post.join(shared, "token", "left_semi").join(member, "d1").select("token", "rep", "n", "grp", "part").distinct())
+    drop_written(post)
+    drop_written(shared)
+    matrix = entry.groupBy("token", "grp", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    matrix = matrix.select("token", F.col("grp").alias("p_grp"), F.col("part").alias("p_part"), "least", "most")
+    met = entry.join(matrix, "token").where(f"grp > p_grp and 100 * most >= {percent} * n and {percent} * least <= 100 * n")
+    met = met.groupBy(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("p_part").alias("part")).agg(F.count("*").alias("c"), F.min("least").alias("least"), F.max("most").alias("most"))
+    rest = f"c + greatest({percent} * na + 99, {percent} * most + 99) div 100 - 1"
+    out = written(met.where(f"(100 + {percent}) * ({rest}) >= {percent} * (cast(na as bigint) + least)").select("a", "na", "part"))
+    drop_written(entry)
+    return out
+
+
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document, the smallest id, of each group of linked documents.
 
