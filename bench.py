@@ -23,7 +23,7 @@ SHAPES = {
     "c1_top_hubs": "g.V().hasLabel('Customer').project('custkey','segment','orders').by('custkey').by('mktsegment').by(outE('PLACED').count()).order().by(select('orders'),Order.desc).limit(15)",
     "c2_filtered_hubs": "g.V().hasLabel('Customer').project('custkey','f','all').by('custkey').by(outE('PLACED').has('orderstatus','F').count()).by(outE('PLACED').count()).where(select('f').is(gt(0))).order().by(select('f'),Order.desc).limit(15)",
     "c4_two_hop_chain": "g.E().hasLabel('NEXT_ORDER').has('orderstatus','F').outV().as('a').outE('NEXT_ORDER').has('orderstatus','F').inV().as('b').where('a',neq('b')).select('a','b').by('custkey').limit(20)",
-    "c8_deep_path": "g.V().hasLabel('Customer').where(outE('NEXT_ORDER').has('orderstatus','F')).limit(1).repeat(out('NEXT_ORDER').simplePath()).times(4).path().by('custkey').limit(5)",
+    "c8_ten_hop_path": "g.V().hasLabel('Customer').where(outE('NEXT_ORDER').has('orderstatus','F')).limit(1).repeat(out('NEXT_ORDER').simplePath()).times(10).path().by('custkey').limit(5)",
     "c11_reach_10": "g.V().hasLabel('Customer').where(outE('NEXT_ORDER').has('orderstatus','F')).limit(1).repeat(out('NEXT_ORDER')).times(10).dedup().count()",
     "c10_edge_count": "g.E().hasLabel('PLACED').has('orderstatus','F').count()",
 }

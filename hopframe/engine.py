@@ -10,12 +10,30 @@ from hopframe.operators.compiler import Compiler
 from hopframe.operators.frames import Frames
 from hopframe.plans.mapping import GraphMapping
 from hopframe.plans.parser import parse, render
-from hopframe.plans.steps import Plan, ordered
+from hopframe.plans.steps import HOPS, Plan, ordered
 from hopframe.results import to_results
 from hopframe.sources.registry import Registry
 from hopframe.sources.store import MappingStore
 
 
+#: Partial paths that go into a hop, tried in turn where a limit asks for a few deep paths.
+BEAMS = (2_000, 50_000)
+#: A limit up to which a result is held by the driver, and hops from which paths count as deep.
+FEW, DEEP = 10_000, 4
+
+
+def deep_limit(plan: list[Plan]) -> int | None:
+    """n where the plan asks for any n of the paths over many hops, else None."""
+    names = [p.name for p in plan]
+    if names[-1] != "limit" or sum(n in HOPS for n in names) < DEEP:
+        return None
+    first = next(i for i, n in enumerate(names) if n in HOPS)
+    between, shown = names[first:-2], names[-2]
+    n = plan[-1].args[-1].value
+    fits = all(x in (*HOPS, "simplePath") for x in between) and shown in ("path", "values", "valueMap", "project") and 0 < n <= FEW
+    return n if fits else None
+
+
 @dataclass
 class Explanation:
     """What a traversal becomes; nothing has run."""
@@ -54,12 +72,27 @@ class Engine:
         return df, shape, plan, compiler
 
     def query(self, query: str, mapping: str | None = None) -> DataFrame:
-        """The traversal's result as a DataFrame, over the active mapping or the one of this id."""
+        """The traversal's result as a DataFrame, over the active mapping or the one of this id.
+
+        A few paths of many hops (a limit, nothing that needs all paths) are looked for at once,
+        with a bounded number of partial paths going into each hop. If fewer are found than
+        asked for, the bound grows, and at last there is none: the answer has as many rows as
+        it has without bounds.
+        """
+        plan = ordered(parse(query))
+        most = deep_limit(plan)
+        if most is not None:
+            for beam in BEAMS:
+                df, _ = Compiler(Frames(self.store.get(mapping), self.read), beam).compile(plan)
+                rows = df.collect()
+                if len(rows) == most:
+                    return self.spark.createDataFrame(rows, df.schema)
         return self._compiled(query, mapping)[0]
 
     def results(self, query: str, mapping: str | None = None, most: int | None = None) -> list:
         """The result as plain Python values for a client."""
-        df, shape, _, _ = self._compiled(query, mapping)
+        _, shape, plan, _ = self._compiled(query, mapping)
+        df = self.query(query, mapping)
         return to_results(df, shape, most)
 
     def explain(self, query: str, mapping: str | None = None) -> Explanation:

@@ -52,8 +52,9 @@ class State:
 
 
 class Compiler:
-    def __init__(self, frames: Frames):
-        self.frames, self.mapping = frames, frames.mapping
+    def __init__(self, frames: Frames, beam: int | None = None):
+        """``beam`` bounds the partial paths that go into each hop; see :func:`hopframe.engine.Engine.query`."""
+        self.frames, self.mapping, self.beam = frames, frames.mapping, beam
         self.notes: list[str] = []
 
     # --- entry
@@ -81,14 +82,21 @@ class Compiler:
         p = Position(0, kind, (label,))
         df = self.frames.vertices(p) if kind == "vertex" else self.frames.edges(p)
         state = State(df, [p], kind, edge_root=kind == "edge")
-        state.way = self._way(rest)
-        self.notes.append(f"hops are followed as {state.way}")
         if first.args:
             self._keep(state, self._test(state, p, "id", first.args[0]))
         return state, rest
 
+    def _choose(self, state: State, rest: list[Plan]) -> None:
+        """Settle how the next hop is followed. What holds walks already cannot go back to paths."""
+        way = self._way(rest)
+        if WALKS in state.df.columns and way == "paths":
+            raise QueryError("count() cannot be told apart here")
+        if way != state.way or not self.notes:
+            self.notes.append(f"hops are followed as {way}")
+        state.way = way
+
     def _way(self, rest: list[Plan]) -> str:
-        """How hops may be followed, from all steps after the root."""
+        """How a hop may be followed, from the steps after it."""
         for i, s in enumerate(rest):
             if s.name in ("as", "select", "path", "simplePath", "limit", "order", "project", "valueMap", "groupCount", "sum", "mean", "max", "min", "bothE"):
                 return "paths"
@@ -247,6 +255,9 @@ class Compiler:
         if at.kind != "vertex":
             raise QueryError(f"{step.name}() needs a vertex before it")
         self._settle(state, at)
+        self._choose(state, rest)
+        if self.beam and at.n:
+            state.df = state.df.limit(self.beam)
         labels = self._edge_labels(step.args)
         left, reached, sure = self._leave(state, labels, step.name, keep_edge=False)
         p = Position(len(state.path), "vertex", reached, loaded=False, sure=sure)
@@ -279,6 +290,7 @@ class Compiler:
         if at.kind != "vertex":
             raise QueryError(f"{step.name}() needs a vertex before it")
         self._settle(state, at)
+        self._choose(state, rest)
         labels = self._edge_labels(step.args)
         left, _, _ = self._leave(state, labels, step.name[:-1], keep_edge=True)
         p = Position(len(state.path), "edge", labels)
@@ -329,8 +341,10 @@ class Compiler:
             on = [p.id, p.label] if len(reached) > 1 else [p.id]
             state.df = state.df.select(*on).distinct()
             state.shared.clear()
-        elif state.way != "paths":
-            self._narrow(state, p)
+        else:
+            self._choose(state, rest)
+            if state.way != "paths":
+                self._narrow(state, p)
 
     _do_outV = _do_inV = _do_bothV = _do_otherV = _end
 
