@@ -349,6 +349,18 @@ def field_spans(text: str, numbers: np.ndarray, labels: np.ndarray) -> list[tupl
     return trimmed
 
 
+def plausible(kind: int, text: str) -> bool:
+    """Whether a span of the field can be of its kind: what a pattern's own test refuses is refused here too."""
+    digits = _NOT_DIGIT.sub("", text)
+    if kind == 0:
+        return "@" in text
+    if kind == 1:
+        return text.count(".") == 3 and all(p.isdecimal() and len(p) <= 3 and int(p) <= 255 for p in text.split("."))
+    if kind == 2:
+        return 13 <= len(digits) <= 19 and luhn(digits)
+    return kind != 3 or 7 <= len(digits) <= 15
+
+
 class Finder:
     """All spans of texts: (start, end, kind number, whether a pattern's)."""
 
@@ -366,6 +378,8 @@ class Finder:
                 for a, b, _ in base:
                     taken.append((a, b))
                 for a, b, k in field_spans(text, numbers, labels):
+                    if not plausible(k, text[a:b]):
+                        continue
                     while reach < len(taken) and taken[reach][1] <= a:
                         reach += 1
                     if not any(x < b and a < y for x, y in taken[max(0, reach - 8) : reach + 64]):

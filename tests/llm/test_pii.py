@@ -46,6 +46,7 @@ def test_field_learns_its_table_and_finds_new_secrets():
     (span,) = pii.Finder(FIELD).find([new])[0]
     assert new[span[0] : span[1]] == "8a1f0c3e5b7d9f2a4c6e8b0d1f3a5c7e9b2d4f6a" and pii.KINDS[span[2]] == "secret"
     assert pii.Finder(FIELD).find(["The key to it was a token of love, and the secret is out", "", None]) == [[], [], []]
+    assert pii.Finder(FIELD).find(["the number 4012888888881882 fails its test , 300.1.1.1 too"]) == [[]]
 
 
 def test_cut_chains_give_the_best_path():
