@@ -4,7 +4,8 @@ All rolling k-word hashes of every text meet the k-word hashes of a few template
 broadcast join; the template table is a literal of known size. A hit at word ``pos`` of a text
 and ``tpos`` of a template votes for the diagonal ``pos - tpos``. Votes are summed per document,
 template and diagonal; diagonals at most ``gap`` apart, as insertions and deletions make them,
-are merged; a merged span counts where the template's words it covers reach ``coverage``. The
+are merged; a merged span counts where the template's words it covers reach ``coverage``; of spans that
+begin at one word, those with most of their template covered. The
 join compares the words besides their hash, so spans hold no hash collisions.
 
 Cases: null and empty texts have no words, no labels and score 0; repeated rows are reported
@@ -93,7 +94,8 @@ def scan(docs: DataFrame, base: list = BASE, more: list = TEMPLATES, k: int = K,
     )
     covered = F.size(F.array_distinct(F.flatten(F.transform("seen", lambda i: F.sequence(i, i + k - 1)))))
     span = span.withColumn("share", F.when(F.col("tid").isNotNull(), covered / F.col("m")))
-    good = F.col("share") >= coverage
+    span = span.withColumn("best", F.max("share").over(Window.partitionBy(*doc, "first")))
+    good = (F.col("share") >= coverage) & (F.col("share") == F.col("best"))
     named = F.when(good & (~F.col("is_base") | (F.col("places") > 0)), F.col("label"))
     listed = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
     out = span.groupBy(*doc).agg(
