@@ -4,8 +4,9 @@ The automaton of all items is read by every task, which streams a document's wor
 and keeps the longest match that ends at each word. Where that length reaches ``window`` the
 matched words are hit; an item shorter than the window is hit where it occurs whole.
 
-Items are at most ``shard_bytes`` of text an automaton: more items make more automata, which
-documents pass one after the other, so what a worker holds is bounded at any benchmark size.
+Items are at most ``shard_bytes`` of text an automaton, and at most ``round_bytes`` of text are
+broadcast at a time, which is checked: a larger benchmark is dealt into rounds, and documents
+pass one round after the other with the spans found so far in a written table.
 
 Cases: null texts have no words; items without words or without an id are ignored; repeated
 items and documents count once per row; extra columns stay; empty tables give no hits.
@@ -19,10 +20,12 @@ from itertools import chain
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hopframe.llm.common import alnum_words, map_rows
+from hopframe.llm.common import alnum_words, map_rows, written
 
 #: Text of the items in one automaton. About 60 bytes of memory a byte of text.
 SHARD_BYTES = 4_000_000
+#: Text of the items whose automata are broadcast together.
+ROUND_BYTES = 16_000_000
 
 #: The same words in a text whose letters are still as they were.
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -147,26 +150,48 @@ def automata(benchmark: DataFrame, window: int, shard_bytes: int = SHARD_BYTES)
     return [context.broadcast(SuffixAutomaton(x, window)) for x in shards]
 
 
+def rounds(benchmark: DataFrame, round_bytes: int) -> list[DataFrame]:
+    """The benchmark in parts of about round_bytes of text; itself where it has no more."""
+    total = benchmark.agg(F.sum(F.octet_length(F.col("text").cast("binary")))).first()[0] or 0
+    n = -(-total // round_bytes)
+    return [benchmark.where(F.pmod(F.xxhash64(F.col("item_id").cast("string")), F.lit(n)) == i) for i in range(n)] if n > 1 else [benchmark]
+
+
 def matches(
-    docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES
+    docs: DataFrame,
+    benchmark: DataFrame,
+    window: int = 10,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shard_bytes: int = SHARD_BYTES,
+    round_bytes: int = ROUND_BYTES,
 ) -> DataFrame:
     """Per document: doc_id, n_words, spans (array of [first word, last word]), items (sorted ids as strings)."""
     kind = docs.schema[id_col].dataType
-    shards = automata(benchmark, window, shard_bytes)
     found = [("n_words", "long"), ("spans", "array<array<int>>"), ("items", "array<string>")]
-
-    def run(batches):
-        for ids, texts in batches:
-            count, spans, items = [], [], []
-            for text in texts:
-                words = alnum_words(text)
-                got = [x.value.spans(words) for x in shards]
-                count.append(len(words))
-                spans.append(got[0][0] if len(got) == 1 else _merge([x for s, _ in got for x in s]))
-                items.append(sorted(set(chain.from_iterable(i for _, i in got))))
-            yield ids, count, spans, items
-
-    return map_rows(docs, [(id_col, kind.simpleString()), (text_col, "binary")], [("doc_id", kind), *found], run)
+    parts = rounds(benchmark, round_bytes)
+    each = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
+    for i, part in enumerate(parts):
+        shards, last = automata(part, window, shard_bytes), i == len(parts) - 1
+
+        def run(batches, shards=shards, last=last):
+            for ids, texts, *before in batches:
+                count, spans, items = [], [], []
+                for j, text in enumerate(texts):
+                    words = alnum_words(text)
+                    got = [x.value.spans(words) for x in shards]
+                    if before:
+                        got.append((before[0][j], set(before[1][j])))
+                    count.append(len(words))
+                    spans.append(got[0][0] if len(got) == 1 else _merge([x for s, _ in got for x in s]))
+                    items.append(sorted(set(chain.from_iterable(i for _, i in got))))
+                yield (ids, count, spans, items) if last else (ids, texts, spans, items)
+
+        before = [("spans", "array<array<int>>"), ("items", "array<string>")] if i else []
+        out = [("doc_id", kind), *(found if last else [("text", "binary"), *found[1:]])]
+        each = map_rows(each, [("doc_id", kind.simpleString()), ("text", "binary"), *before], out, run)
+        each = each if last else written(each)
+    return each
 
 
 def report(found: DataFrame) -> DataFrame:
@@ -192,31 +217,44 @@ def without_spans(text: str, spans: list[list[int]]) -> str:
     return "".join(out) + text[last:]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_coverage: float = 0.5, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, window: int = 10, most_coverage: float = 0.5, shard_bytes: int = SHARD_BYTES, round_bytes: int = ROUND_BYTES
+) -> DataFrame:
     """``docs`` without benchmark passages: hit spans are cut out of a text, n_chars follows, and a
     document of whose words more than ``most_coverage`` are hit goes. Others stay as they are.
     """
-    shards = automata(benchmark, window, shard_bytes)
     names = docs.columns
-
-    def run(batches):
-        for cols in batches:
-            rows = []
-            where = names.index("text")
-            chars = names.index("n_chars") if "n_chars" in names else None
-            for row in zip(*cols, strict=True):
-                words = alnum_words(row[where].encode()) if row[where] else []
-                spans = _merge([x for s in shards for x in s.value.spans(words)[0]])
-                if spans:
-                    if sum(b - a + 1 for a, b in spans) > most_coverage * len(words):
-                        continue
-                    row = list(row)
-                    row[where] = without_spans(row[where], spans)
-                    if chars is not None:
-                        row[chars] = len(row[where])
-                rows.append(row)
-            if rows:
-                yield tuple(zip(*rows, strict=True))
-
+    where, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
     fields = [(f.name, f.dataType) for f in docs.schema]
-    return map_rows(docs, [(n, t.simpleString()) for n, t in fields], fields, run)
+    columns = [(n, t.simpleString()) for n, t in fields]
+    parts = rounds(benchmark, round_bytes)
+    mark = "_spans_so_far"
+    for i, part in enumerate(parts):
+        shards, first, last = automata(part, window, shard_bytes), i == 0, i == len(parts) - 1
+
+        def run(batches, shards=shards, first=first, last=last):
+            for cols in batches:
+                rows = []
+                for row in zip(*cols, strict=True):
+                    words = alnum_words(row[where].encode()) if row[where] else []
+                    spans = _merge([x for s in shards for x in s.value.spans(words)[0]] + ([] if first else row[-1]))
+                    row = row[: len(names)]
+                    if not last:
+                        rows.append((*row, spans))
+                        continue
+                    if spans:
+                        if sum(b - a + 1 for a, b in spans) > most_coverage * len(words):
+                            continue
+                        row = list(row)
+                        row[where] = without_spans(row[where], spans)
+                        if chars is not None:
+                            row[chars] = len(row[where])
+                    rows.append(row)
+                if rows:
+                    yield tuple(zip(*rows, strict=True))
+
+        before = [] if first else [(mark, "array<array<int>>")]
+        after = [] if last else [(mark, "array<array<int>>")]
+        docs = map_rows(docs, [*columns, *before], [*fields, *after], run)
+        docs = docs if last else written(docs)
+    return docs

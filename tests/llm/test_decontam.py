@@ -43,6 +43,7 @@ def test_random_words_over_a_small_alphabet(spark):
     docs = [(i, text(r.randint(0, 80), r.choice((2, 3))), "x") for i in range(60)] + [(1000, None, None), (1001, "", "y")]
     check(spark, docs, items)
     check(spark, docs, items, shard_bytes=60)
+    check(spark, docs, items, shard_bytes=60, round_bytes=300)
 
 
 def test_empty_tables(spark):
@@ -55,6 +56,9 @@ def test_spans_go_and_clean_documents_stay(spark):
     own = " ".join(f"w{i}" for i in range(30))
     docs = [(1, f"Intro {own}, {item.upper()}! end", "s"), (2, own, "t"), (3, item, "u"), (4, None, "v")]
     d, b = spark.createDataFrame(docs, DOCS), spark.createDataFrame([(5, item)], "item_id long, text string")
+    other = spark.createDataFrame([(5, item), (6, "nothing of this is there"), (None, own)], "item_id long, text string")
+    rounds = {r.doc_id: r for r in decontam.decontaminate(d, other, round_bytes=70).collect()}
     got = {r.doc_id: r for r in decontam.decontaminate(d, b).collect()}
+    assert rounds == got
     assert set(got) == {1, 2, 4} and got[1].text == f"Intro {own}, ! end" and got[2].text == own and got[4].text is None
     assert got[1].spans == "s"
