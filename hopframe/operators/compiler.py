@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from hopframe.errors import QueryError
 from hopframe.functions.predicates import compare, literal, predicate
 from hopframe.operators.frames import Frames, Position
-from hopframe.plans.parser import Literal, Name, Traversal, render
+from hopframe.plans.parser import Literal, Name, Step, Traversal, render
 from hopframe.plans.steps import EDGES, ENDS, HOPS, Plan
 
 WALKS = "_walks"
@@ -42,7 +42,6 @@ class State:
     edge_root: bool = False
     shared: dict[tuple, str] = field(default_factory=dict)
     fresh: int = 0
-    narrow: int = -1  # the position to which rows are reduced
     simple: int = 0  # positions that are known to differ
     shape: str = "elements"
 
@@ -262,8 +261,6 @@ class Compiler:
         left, reached, sure = self._leave(state, labels, step.name, keep_edge=False)
         p = Position(len(state.path), "vertex", reached, loaded=False, sure=sure)
         left = left.select("_key", *(["_from"] if "_from" in left.columns else []), F.col("_other").alias(p.id), *([F.col("_to").alias(p.label)] if len(reached) > 1 else []))
-        if state.way != "paths":
-            self._narrow(state, at)
         self._join_left(state, left)
         state.df = state.df.where(F.col(p.id).isNotNull())
         state.path.append(p)
@@ -274,9 +271,6 @@ class Compiler:
     def _narrow(self, state: State, p: Position) -> None:
         """Reduce rows to elements of the current position: once each, or with a number of walks."""
         on = [p.id, p.label] if len(p.labels) > 1 else [p.id]
-        if state.narrow == p.n and not p.loaded:
-            return
-        state.narrow = p.n
         if state.way == "frontier":
             state.df = state.df.select(*on).distinct()
         else:
@@ -440,17 +434,15 @@ class Compiler:
         state.df = state.df.join(keys, self._on(state), "left").drop("_k", "_l")
         return F.coalesce(F.col(name), F.lit(False))
 
-    def _neighbours(self, state: State, t: Traversal) -> DataFrame:
-        """Rows (_k, the neighbour's or edge's columns) of ``outE|inE|bothE|out|in|both(l)[.has()…]``, keyed by the element's id."""
-        head, more = t.steps[0], t.steps[1:]
-        if head.name not in (*HOPS, *EDGES) or any(s.name not in ("has", "hasNot", "hasId", "hasLabel") for s in more) or state.here.kind != "vertex":
-            raise QueryError(f"unsupported condition {render(t)}")
+    def _around(self, state: State, head: Step) -> tuple[State, Position]:
+        """Edges or neighbours of the current element, as a state of their own keyed by ``_k``."""
+        if head.name not in (*HOPS, *EDGES) or state.here.kind != "vertex":
+            raise QueryError(f"unsupported condition {render(head)}")
         if not head.args:
             raise QueryError(f"{head.name}() needs an edge label here")
         labels = self._edge_labels(head.args)
         edge = head.name in EDGES
-        inner = State(state.df, list(state.path), "vertex")
-        left, reached, sure = self._leave(inner, labels, head.name.removesuffix("E"), keep_edge=edge)
+        left, reached, sure = self._leave(State(state.df, list(state.path), "vertex"), labels, head.name.removesuffix("E"), keep_edge=edge)
         n = len(state.path)
         p = Position(n, "edge", labels) if edge else Position(n, "vertex", reached, loaded=False, sure=sure)
         left = left.withColumnRenamed("_key", "_k")
@@ -460,11 +452,35 @@ class Compiler:
         else:
             left = left.withColumn(p.id, F.col("_other"))
             left = left.withColumn(p.label, F.col("_to")) if len(reached) > 1 else left
-        inner = State(left.drop("_other", "_to", "_edge"), [*state.path, p], p.kind)
-        for s in more:
+        return State(left.drop("_other", "_to", "_edge").where("_k is not null"), [*state.path, p], p.kind), p
+
+    def _neighbours(self, state: State, t: Traversal) -> DataFrame:
+        """Rows (_k, the neighbour's or edge's columns) of ``outE|inE|bothE|out|in|both(l)[.has()…]``, keyed by the element's id."""
+        if any(s.name not in ("has", "hasNot", "hasId", "hasLabel") for s in t.steps[1:]):
+            raise QueryError(f"unsupported condition {render(t)}")
+        inner, p = self._around(state, t.steps[0])
+        for s in t.steps[1:]:
             getattr(self, f"_do_{s.name}")(inner, Plan(s.name, s.args), [])
         self._settle(inner, p)
-        return inner.df.where("_k is not null")
+        return inner.df
+
+    def _degrees(self, state: State, asked: list[Traversal]) -> None:
+        """Compute degrees over the same edges, with different filters, in one aggregation."""
+        alike: dict[str, dict[str, Traversal]] = {}
+        for t in asked:
+            if t.steps[0].name in EDGES and all(s.name == "has" for s in t.steps[1:]):
+                alike.setdefault(render(t.steps[0]), {})[render(t)] = t
+        for some in alike.values():
+            if len(some) < 2:
+                continue
+            inner, p = self._around(state, next(iter(some.values())).steps[0])
+            counts = []
+            for text, t in some.items():
+                name = state.shared["degree", state.here.n, text] = self._name(state, "n")
+                tests = [self._test(inner, p, self._text(s.args[0]), s.args[1]) for s in t.steps[1:]]
+                counts.append((F.count_if(reduce(lambda a, b: a & b, tests)) if tests else F.count("*")).alias(name))
+            by = ["_k", *(["_l"] if len(state.here.labels) > 1 else [])]
+            state.df = state.df.join(inner.df.groupBy(*by).agg(*counts), self._on(state), "left").drop("_k", "_l")
 
     def _degree(self, state: State, t: Traversal) -> Column:
         """The number of neighbours or edges, 0 where none; equal ones are computed once."""
@@ -509,6 +525,8 @@ class Compiler:
     def _do_project(self, state: State, step: Plan, rest: list[Plan]) -> None:
         self._element(state, "project")
         self._settle(state, state.here)
+        counted = [b[0] for b in step.bys if isinstance(b[0], Traversal) and b[0].steps[-1].name == "count"]
+        self._degrees(state, [Traversal(t.steps[:-1]) for t in counted if len(t.steps) > 1])
         columns = [self._by(state, b[0]) for b in step.bys]
         self._rows(state, columns, [self._text(a) for a in step.args], "row", "map")
 
