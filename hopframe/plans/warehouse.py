@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hopframe.engine import Engine
+from hopframe.streaming.refresh import FreshTables
 
 #: Order keys in a bucket of the two-level lead().
 LEAD_BUCKET = 1 << 16
@@ -55,13 +56,21 @@ def following(df: DataFrame, key: str, value: str, name: str, bucket: int = LEAD
     return inner.join(after, "_b").withColumn(name, F.when(F.col("_last"), F.col("_after")).otherwise(F.col("_next"))).drop("_b", "_next", "_after", "_last")
 
 
+#: The derived table by application and folder: hops read it again and again.
+_DERIVED: dict[tuple[str, str], FreshTables] = {}
+
+
 def reader(spark: SparkSession, sf_dir: str):
-    """Tables of a folder, and the derived table of consecutive orders."""
+    """Tables of a folder, and the derived table of consecutive orders, which is cached for a while."""
+
+    def derived(table: str, datasource: str | None = None) -> DataFrame:
+        orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+        return following(orders, "o_orderkey", "o_custkey", "next_custkey").where("next_custkey is not null")
 
     def read(table: str, datasource: str | None = None) -> DataFrame:
         if table == "next_order":
-            orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
-            return following(orders, "o_orderkey", "o_custkey", "next_custkey").where("next_custkey is not null")
+            key = (spark.sparkContext.applicationId, sf_dir)
+            return _DERIVED.setdefault(key, FreshTables(derived, seconds=600)).read(table)
         return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
     return read
