@@ -65,15 +65,20 @@ class Engine:
         for b in mapping.backends:
             self.registry.register(dict(b))
 
-    def _compiled(self, query: str, mapping: str | None) -> tuple[DataFrame, str, list[Plan], Compiler]:
+    def _frames(self, mapping: str | None, backend: str | None) -> Frames:
+        return Frames(self.store.get(mapping), (lambda table, _: self.read(table, backend)) if backend else self.read)
+
+    def _compiled(self, query: str, mapping: str | None, backend: str | None = None) -> tuple[DataFrame, str, list[Plan], Compiler]:
         plan = ordered(parse(query))
-        compiler = Compiler(Frames(self.store.get(mapping), self.read))
+        compiler = Compiler(self._frames(mapping, backend))
         df, shape = compiler.compile(plan)
         return df, shape, plan, compiler
 
-    def query(self, query: str, mapping: str | None = None) -> DataFrame:
+    def query(self, query: str, mapping: str | None = None, backend: str | None = None) -> DataFrame:
         """The traversal's result as a DataFrame, over the active mapping or the one of this id.
 
+        All tables are read from ``backend`` if one is named, else as the mapping says.
+
         A few paths of many hops (a limit, nothing that needs all paths) are looked for at once,
         with a bounded number of partial paths going into each hop. If fewer are found than
         asked for, the bound grows, and at last there is none: the answer has as many rows as
@@ -83,16 +88,17 @@ class Engine:
         most = deep_limit(plan)
         if most is not None:
             for beam in BEAMS:
-                df, _ = Compiler(Frames(self.store.get(mapping), self.read), beam).compile(plan)
+                df, _ = Compiler(self._frames(mapping, backend), beam).compile(plan)
                 rows = df.collect()
                 if len(rows) == most:
                     return self.spark.createDataFrame(rows, df.schema)
-        return self._compiled(query, mapping)[0]
+        return self._compiled(query, mapping, backend)[0]
 
-    def results(self, query: str, mapping: str | None = None, most: int | None = None) -> list:
+    def results(self, query: str, mapping: str | None = None, most: int | None = None, backend: str | None = None) -> list:
         """The result as plain Python values for a client."""
-        _, shape, plan, _ = self._compiled(query, mapping)
-        df = self.query(query, mapping)
+        df, shape, plan, _ = self._compiled(query, mapping, backend)
+        if deep_limit(plan) is not None:
+            df = self.query(query, mapping, backend)
         return to_results(df, shape, most)
 
     def explain(self, query: str, mapping: str | None = None) -> Explanation:

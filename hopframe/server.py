@@ -1,8 +1,14 @@
-"""An HTTP service over the engine, with the standard library only."""
+"""An HTTP service over the engine, with the standard library only.
+
+``python -m hopframe.server`` serves with the backends in the environment variable BACKENDS, the
+mapping in the file that MAPPING_PATH names, and mappings kept in MAPPING_STORE
+(``.mapping-store``), on PORT (7000).
+"""
 
 from __future__ import annotations
 
 import json
+import os
 from email.parser import BytesParser
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, urlsplit
@@ -60,10 +66,14 @@ class Service:
                 case ("DELETE", "/mapping"):
                     store.delete(mapping or params.get("id") or store.active_id or "")
                     return 200, store.status()
-                case ("POST", "/gremlin/query"):
+                case ("POST", "/gremlin/query" | "/query"):
                     query = json.loads(body or b"{}").get("gremlin", "")
-                    rows = engine.results(query, mapping, self.most_rows)
-                    return 200, {"gremlin": query, "results": rows, "resultCount": len(rows), "transaction": "read-only"}
+                    backend = headers.get("X-Backend-Id") or params.get("backendId")
+                    rows = engine.results(query, mapping, self.most_rows, backend)
+                    answer = {"gremlin": query, "results": rows, "resultCount": len(rows), "transaction": "read-only"}
+                    if str(headers.get("X-SQL-Trace") or params.get("sql_log") or "").lower() in ("1", "true"):
+                        answer["trace"] = engine.explain(query, mapping).as_dict()
+                    return 200, answer
                 case ("POST", "/query/explain"):
                     return 200, engine.explain(json.loads(body or b"{}").get("gremlin", ""), mapping).as_dict()
             return 404, {"error": f"no route {method} {url.path}"}
@@ -92,3 +102,25 @@ def serve(engine: Engine, port: int = 7000, host: str = "127.0.0.1") -> Threadin
             pass
 
     return ThreadingHTTPServer((host, port), Handler)
+
+
+def main() -> None:
+    from pathlib import Path
+
+    from pyspark.sql import SparkSession
+
+    from hopframe.sources.registry import Registry
+    from hopframe.sources.store import MappingStore
+
+    spark = SparkSession.builder.appName("hopframe").getOrCreate()
+    store = MappingStore(os.environ.get("MAPPING_STORE", ".mapping-store"))
+    engine = Engine(spark, registry=Registry.from_env(spark), store=store)
+    if path := os.environ.get("MAPPING_PATH"):
+        store.put(Path(path).read_text(), id=Path(path).stem)
+    if store.active_id:
+        engine.adopt(store.get())
+    serve(engine, int(os.environ.get("PORT", "7000"))).serve_forever()
+
+
+if __name__ == "__main__":
+    main()

@@ -145,6 +145,9 @@ def test_http(spark):
         assert status == 200 and answer["results"] == ["x", "y"] and answer["resultCount"] == 2
         assert call("POST", "/gremlin/query", {"gremlin": "g.V().count()"}, **{"X-Mapping-Id": "m2"})[1]["results"] == [2]
         assert call("POST", "/gremlin/query", {"gremlin": "g.V().drop()"})[0] == 400
+        assert "steps" in call("POST", "/query?sql_log=true", {"gremlin": "g.V().count()"})[1]["trace"]
+        assert call("POST", "/gremlin/query", {"gremlin": "g.V().count()"}, **{"X-Backend-Id": "catalog"})[1]["results"] == [2]
+        assert call("POST", "/gremlin/query", {"gremlin": "g.V().count()"}, **{"X-Backend-Id": "nowhere"})[0] == 400
         assert "Scan" in call("POST", "/query/explain", {"gremlin": "g.V().count()"})[1]["physical"]
         assert [m["id"] for m in call("GET", "/mappings")[1]] == ["m1", "m2"] and call("GET", "/mapping")[1] == mapping
         assert call("POST", "/mapping/active", {"id": "m2"})[1]["active"] == "m2"
