@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from hopframe.llm.common import map_rows
 
 #: Labelled rows of each class that the fit reads at most.
-MOST_ROWS = 4000
+MOST_ROWS = 2500
 #: Hashed n-grams, their lengths, and words of a run.
 BUCKETS, GRAMS, RUN = 1 << 17, (3, 4, 5, 6), 4
 #: A score from which a document is predicted toxic.
@@ -131,8 +131,17 @@ def train(texts: list[str], toxic: list[int], dims: int = 8, rounds: int = 120,
     run_size = np.diff(np.append(run_at, len(word)))
     doc_at = np.concatenate(([0], np.cumsum([len(r) for r in runs])[:-1]))
     run_doc = np.repeat(np.arange(len(keep)), np.diff(np.append(doc_at, len(run_at))))
-    flat, gram_at = subwords(list(known))
-    grams = np.diff(np.append(gram_at, len(flat)))
+    vocabulary, n_words = list(known), len(known)
+    del bags, known
+    parts = []  # (first word, n-grams of some words, where each word's begin, their number): bounded working memory
+    for lo in range(0, n_words, 20_000):
+        flat, at = subwords(vocabulary[lo : lo + 20_000])
+        parts.append((lo, flat.astype(np.int32), at, np.diff(np.append(at, len(flat)))))
+    del vocabulary, flat
+
+    def word_values(gram: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.add.reduceat(gram[f], at) / n for _, f, at, n in parts])
+
     rng = np.random.default_rng(seed)
     table = rng.normal(0, 0.1, (BUCKETS, dims)).astype(np.float32)
     soft = rng.normal(0, 0.1, (dims, 2)).astype(np.float32)
@@ -142,7 +151,7 @@ def train(texts: list[str], toxic: list[int], dims: int = 8, rounds: int = 120,
     for step in range(rounds):
         sharp = max(0.0, (step - rounds // 6) / (rounds / 6))
         w, b = soft[:, 1] - soft[:, 0], bias[1] - bias[0]
-        value = np.add.reduceat((table @ w)[flat], gram_at) / grams  # of each word
+        value = word_values(table @ w)
         lead = np.add.reduceat(value[word], run_at) / run_size + b  # of each run
         top = np.maximum.reduceat(lead, doc_at)
         if sharp > 4:
@@ -156,8 +165,11 @@ def train(texts: list[str], toxic: list[int], dims: int = 8, rounds: int = 120,
         used = np.flatnonzero(np.abs(per_run) > 1e-9)
         sizes = run_size[used]
         places = np.repeat(run_at[used] - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
-        by_word = np.bincount(word[places], np.repeat(per_run[used] / sizes, sizes), len(known)) / grams
-        by_gram = np.bincount(flat, np.repeat(by_word, grams), BUCKETS).astype(np.float32)
+        by_word = np.bincount(word[places], np.repeat(per_run[used] / sizes, sizes), n_words)
+        by_gram = np.zeros(BUCKETS)
+        for lo, f, at, n in parts:
+            by_gram += np.bincount(f, np.repeat(by_word[lo : lo + len(at)] / n, n), BUCKETS)
+        by_gram = by_gram.astype(np.float32)
         d_w = table.T @ by_gram
         gradients = [np.outer(by_gram, w), np.stack([-d_w, d_w], 1), np.array([-1, 1]) * slip.sum()]
         for p, g, s in zip((table, soft, bias), gradients, seen, strict=True):
@@ -165,7 +177,7 @@ def train(texts: list[str], toxic: list[int], dims: int = 8, rounds: int = 120,
             p -= rate * g / np.sqrt(s)
     w, b = soft[:, 1] - soft[:, 0], float(bias[1] - bias[0])
     model = Model((table @ w).astype(float), b, 1.0, 0.0)
-    value = np.add.reduceat(model.gram[flat], gram_at) / grams
+    value = word_values(model.gram)
     top = np.maximum.reduceat(np.add.reduceat(value[word], run_at) / run_size, doc_at) + b
     model.scale, model.shift = calibrate(top, y)
     return model
