@@ -273,6 +273,7 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """
     marked = join(docs, k, percent)
     gone = marked.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone  # else every text would be shuffled
     kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
     twice = marked.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
     if not twice.limit(1).count():

@@ -8,7 +8,7 @@ import numpy as np
 import xxhash
 
 #: Bytes of text that are hashed together; a longer text is hashed alone.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
