@@ -4,8 +4,8 @@ The text view is a logistic classifier over measures of a text's form; the metad
 over source, language and length classes, hashed. Both start from labelled rows. In each round
 either view labels the unlabelled pool, and its most confident rows, as many of each class as
 the labels' shares ask for, become training rows of the other view. At the end each view is
-calibrated on labelled rows it did not train on, and a document's score adds both views' log
-odds, each weighted by how well that view did there.
+calibrated on labelled rows it did not train on, weighted to the classes' shares of all labels,
+and a document's score adds both views' log odds, each weighted by how well that view did there.
 
 The fit reads at most ``most_rows`` labelled rows of each class and ``most_pool`` unlabelled
 rows, those of the smallest hashes of their ids; every document is then scored on its whole text.
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hopframe.llm.common import map_rows
-from hopframe.llm.toxicity import calibrate
+from hopframe.llm.toxicity import calibrate, class_weights
 
 MOST_ROWS, MOST_POOL = 2000, 2000
 #: Rounds of exchange, and pseudo-labels that a view hands over in a round.
@@ -153,7 +153,7 @@ def co_train(texts: list, metas: list, y: list[int], pool_texts: list, pool_meta
     for _ in range(rounds if len(pool_texts) else 0):
         for v in (0, 1):
             lead = pools[v] @ theta[v]
-            told = calibrate(views[v][train] @ theta[v], y[train])
+            told = calibrate(views[v][train] @ theta[v], y[train], weight=class_weights(y[train], share))
             sure = 1 / (1 + np.exp(-np.clip(told[0] * lead + told[1], -30, 30)))
             order = np.argsort(lead, kind="stable")
             for tag, ranked, n in ((1, order[::-1], round(exchanged * share)), (0, order, round(exchanged * (1 - share)))):
@@ -161,11 +161,11 @@ def co_train(texts: list, metas: list, y: list[int], pool_texts: list, pool_meta
                 extra[1 - v].update(dict.fromkeys(new, tag))
         theta = [fit(0), fit(1)]
     held = [views[v][kept] @ theta[v] for v in (0, 1)]
-    curves = tuple(calibrate(x, y[kept]) for x in held)
+    curves = tuple(calibrate(x, y[kept], weight=class_weights(y[kept], share)) for x in held)
     trust = [_separation(x, y[kept]) for x in held]
     total = trust[0] ** 2 + trust[1] ** 2  # a weak view counts by the square of what it knows
     trust = tuple(t**2 / total if total else 0.0 for t in trust)
-    prior = float(np.log(y[kept].mean() / (1 - y[kept].mean()))) if 0 < y[kept].mean() < 1 else 0.0
+    prior = float(np.log(share / (1 - share))) if 0 < share < 1 else 0.0
     return Model(theta[0], theta[1], curves, trust, prior, mean, spread, (len(extra[0]), len(extra[1])))
 
 

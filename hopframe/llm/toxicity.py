@@ -183,16 +183,23 @@ def train(texts: list[str], toxic: list[int], dims: int = 8, rounds: int = 120,
     return model
 
 
-def calibrate(lead: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, float]:
+def class_weights(y: np.ndarray, share: float) -> np.ndarray:
+    """Weights under which class 1 has this share of the rows; all 1 where the rows are of one class."""
+    mean = float(y.mean()) if len(y) else 0.0
+    return np.where(y > 0, share / mean, (1 - share) / (1 - mean)) if 0 < mean < 1 else np.ones(len(y))
+
+
+def calibrate(lead: np.ndarray, y: np.ndarray, rounds: int = 60, weight: np.ndarray | None = None) -> tuple[float, float]:
     """Slope and intercept of a logistic curve through the leads, by damped Newton steps with a weak prior."""
+    weight = np.ones(len(y)) if weight is None else weight
     unit = max(float(np.std(lead)), 1e-6)
     x = np.stack([lead / unit, np.ones_like(lead)], 1)
     goal = np.where(y > 0, 1 - 1 / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
     theta = np.zeros(2)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-        h = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + 0.01 * np.eye(2)
-        step = np.linalg.solve(h, x.T @ (goal - p) - 0.01 * theta)
+        h = (x * (weight * (p * (1 - p) + 1e-6))[:, None]).T @ x + 0.01 * np.eye(2)
+        step = np.linalg.solve(h, x.T @ (weight * (goal - p)) - 0.01 * theta)
         theta += step / max(1.0, float(np.abs(step).max()))
     return float(theta[0]) / unit, float(theta[1])
 

@@ -44,3 +44,25 @@ def test_without_labels_or_rows(spark):
     one = spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")
     assert {r.score > 0.99 for r in quality.score(d, quality.fit(d, one)).collect()} == {True}
     assert quality.score(d.limit(0), quality.fit(d.limit(0), empty)).count() == 0
+
+
+def test_the_bound_on_labelled_rows_leaves_the_base_rate(spark):
+    """A cut at 0.5 means the same whether the bound on rows of a class binds or not."""
+    r = random.Random(6)
+    docs, labels = [], []
+    for i in range(2400):
+        good = r.random() < 0.85
+        loud = r.random() < (0.35 if good else 0.65)  # the classes overlap
+        text = " ".join(("WORD" if loud else "word") + r.choice("abc") for _ in range(r.randint(20, 60)))
+        docs.append((i, text, "en", "a", len(text), "x"))
+        labels.append((i, int(good)))
+    d, some = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, "doc_id long, quality int")
+    share = np.mean([q for _, q in labels])
+    means = []
+    for most_rows in (200, 100_000):
+        m = quality.fit(d, some, most_rows=most_rows)
+        s = m.scores([x[1] for x in docs], [(x[3], x[2], x[4]) for x in docs])
+        means.append(s.mean())
+        assert abs(m.prior - np.log(share / (1 - share))) < 1e-6
+        assert (s >= 0.5).all()  # either form is mostly good
+    assert abs(means[0] - share) < 0.06 and abs(means[1] - share) < 0.06
