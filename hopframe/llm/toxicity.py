@@ -11,7 +11,8 @@ The model is linear over n-grams once trained, so the table shrinks to one numbe
 and the scorer keeps each word's number in a cache.
 
 Fitting uses at most ``most_rows`` labelled rows of each class, those of the smallest hashes of
-their ids; scoring reads every whole text of every row.
+their ids, and calibration weights them to the classes' shares of all labels not held out; scoring
+reads every whole text of every row.
 
 Cases: null, empty and wordless texts score the model's prior for an empty run; rows with a null
 id are scored and count as held out; a repeated row is scored each time; labels that are null, or of
@@ -113,8 +114,13 @@ class Scorer:
         return self.model.probability(self.leads(texts))
 
 
-def train(texts: list[str], toxic: list[int], dims: int = 8, rounds: int = 120, rate: float = 0.2, seed: int = 1) -> Model:
-    """The n-gram table and the softmax, fitted together by Adagrad over all texts."""
+def train(
+    texts: list[str], toxic: list[int], dims: int = 8, rounds: int = 120, rate: float = 0.2, seed: int = 1, share: float | None = None
+) -> Model:
+    """The n-gram table and the softmax, fitted together by Adagrad over all texts.
+
+    ``share`` is the share of toxic rows among all labels, to which scores are calibrated; without it, that of the texts.
+    """
     y = np.array(toxic, float)
     if not len(y) or y.min() == y.max():
         p = min(max(y.mean() if len(y) else 0.5, 1e-4), 1 - 1e-4)
@@ -122,7 +128,8 @@ def train(texts: list[str], toxic: list[int], dims: int = 8, rounds: int = 120,
     known: dict[bytes, int] = {}
     bags = [[known.setdefault(w, len(known)) for w in words_of(t)] for t in texts]
     keep = np.array([i for i, b in enumerate(bags) if b])
-    y = y[keep]
+    sampled = np.ones(len(y)) if share is None else class_weights(y, share)
+    y, sampled = y[keep], sampled[keep]
     count = np.array([len(bags[i]) for i in keep])
     word = np.concatenate([np.array(bags[i], np.int32) for i in keep])
     runs = [_runs(n) for n in count]
@@ -179,7 +186,7 @@ def train(texts: list[str], toxic: list[int], dims: int = 8, rounds: int = 120,
     model = Model((table @ w).astype(float), b, 1.0, 0.0)
     value = word_values(model.gram)
     top = np.maximum.reduceat(np.add.reduceat(value[word], run_at) / run_size, doc_at) + b
-    model.scale, model.shift = calibrate(top, y)
+    model.scale, model.shift = calibrate(top, y, weight=sampled)
     return model
 
 
@@ -204,17 +211,18 @@ def calibrate(lead: np.ndarray, y: np.ndarray, rounds: int = 60, weight: np.ndar
     return float(theta[0]) / unit, float(theta[1])
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, held_out=None) -> tuple[list[str], list[int]]:
-    """Texts and labels of at most ``most`` rows of each class, by the smallest hashes of their ids."""
+def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, held_out=None) -> tuple[list[str], list[int], float | None]:
+    """Texts and labels of at most ``most`` rows of each class, by the smallest hashes of their ids, and the share of class 1 in all of them."""
     known = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y")).where("_id is not null and _y in (0, 1)")
     if held_out is not None:
         known = known.where(~held_out(F.col("_id")))
     known = known.groupBy("_id").agg(F.max("_y").alias("_y"))
+    share = known.agg(F.avg("_y")).first()[0]
     picked = [known.where(f"_y = {y}").orderBy(F.xxhash64(F.lit(1), "_id"), "_id").limit(most) for y in (0, 1)]
     picked = picked[0].unionByName(picked[1])
     rows = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_t")).join(F.broadcast(picked), "_id").select("_id", "_t", "_y").collect()
     rows = sorted({(i, t or "", y) for i, t, y in rows})
-    return [t for _, t, _ in rows], [y for _, _, y in rows]
+    return [t for _, t, _ in rows], [y for _, _, y in rows], share
 
 
 def fold(doc_id) -> F.Column:
@@ -238,7 +246,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Model:
     """A model of ``labels.toxic`` that has seen no held-out row."""
-    return train(*labelled(docs, labels, "toxic", most_rows, fold))
+    texts, toxic, share = labelled(docs, labels, "toxic", most_rows, fold)
+    return train(texts, toxic, share=share)
 
 
 def score_all(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:

@@ -37,3 +37,21 @@ def test_one_class_no_labels_no_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in toxicity.score_all(d, none).collect()} == {0.5}
     assert toxicity.score_all(d.limit(0), none).count() == 0
+
+
+def test_the_bound_on_rows_leaves_the_base_rate(spark):
+    """A word of either class has the same score whether the bound on rows of a class binds or not."""
+    r = random.Random(5)
+    docs, labels = [], []
+    for i in range(2400):
+        bad = r.random() < 0.12
+        rude = r.random() < (0.6 if bad else 0.2)  # the classes overlap: some 29% of rude texts are toxic
+        docs.append((i, "the on an here" + (" idiot" if rude else "")))
+        labels.append((i, int(bad)))
+    d, known = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    means = []
+    for most_rows in (150, 100_000):
+        rows = toxicity.score_all(d, known, most_rows).collect()
+        means.append(sum(x.score for x in rows) / len(rows))
+        assert not any(x.predicted for x in rows)
+    assert abs(means[0] - 0.12) < 0.04 and abs(means[1] - 0.12) < 0.04
