@@ -2,35 +2,41 @@
 
 The text view is a logistic classifier over measures of a text's form; the metadata view is one
 over source, language and length classes, hashed. Both start from labelled rows. In each round
-either view labels the unlabelled pool, and its most confident rows, as many of each class as
-the labels' shares ask for, become training rows of the other view. At the end each view is
+either view labels all unlabelled rows in Spark. Of those it is sure of, as many of each class as
+the labels' shares ask for, dealt by hash over the sources and languages in turn, become training
+rows of the other view, each weighted by how many sure rows of its source and language it stands
+for. At the end each view is
 calibrated on labelled rows it did not train on, weighted to the classes' shares of all labels,
 and a document's score adds both views' log odds, each weighted by how well that view did there.
 
-The fit reads at most ``most_rows`` labelled rows of each class and ``most_pool`` unlabelled
-rows, those of the smallest hashes of their ids; every document is then scored on its whole text.
+The fit in numpy reads at most ``most_rows`` labelled rows of each class, those of the smallest
+hashes of their ids, and the pseudo-labelled rows; every document is then scored on its whole text.
 
 Cases: null and empty texts have the form of an empty text; null metadata is a value of its own;
-repeated rows are scored each; null labels and unknown ids are ignored; a null id is scored;
+repeated rows are scored each, and handed over once; rows with a null id are unlabelled; null labels and unknown ids are ignored; a null id is scored;
 with no or one class of labels every score is that class's share, 0.5 where there is none.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hopframe.llm.common import map_rows
+from hopframe.llm.common import drop_written, map_rows, written
 from hopframe.llm.toxicity import calibrate, class_weights
 
-MOST_ROWS, MOST_POOL = 2000, 2000
+MOST_ROWS = 2000
 #: Rounds of exchange, and pseudo-labels that a view hands over in a round.
 ROUNDS, EXCHANGED = 4, 200
+#: The probability from which a view is sure of a row, and the weight of a pseudo-label on average.
+SURE, TOLD_WEIGHT = 0.9, 0.3
 META_BUCKETS = 512
 META = ("source", "lang", "n_chars")
 
@@ -125,8 +131,28 @@ def _separation(lead: np.ndarray, y: np.ndarray) -> float:
     return max(0.0, 2 * (rank[y > 0].sum() - pos * (pos + 1) / 2) / (pos * neg) - 1)
 
 
-def co_train(texts: list, metas: list, y: list[int], pool_texts: list, pool_metas: list, share: float, rounds: int = ROUNDS, exchanged: int = EXCHANGED) -> Model:
-    """Fit both views. ``share`` is the share of class 1 among all labels."""
+@dataclass
+class Views:
+    """Both views in a round: weights, calibrations, and the centre of text measures."""
+
+    theta: list[np.ndarray]
+    curves: list[tuple[float, float]]
+    mean: np.ndarray
+    spread: np.ndarray
+
+    def scores(self, forms: np.ndarray, metas: list[list[int]]) -> list[np.ndarray]:
+        leads = (((forms - self.mean) / self.spread) @ self.theta[0], _dense(metas) @ self.theta[1])
+        return [1 / (1 + np.exp(-np.clip(a * x + b, -30, 30))) for x, (a, b) in zip(leads, self.curves, strict=True)]
+
+
+#: (row, weight, measures of its text, hashed metadata) of each row that a view hands over, by (view, class).
+Told = dict[tuple[int, int], list[tuple[int, float, bytes, bytes]]]
+
+
+def co_train(
+    texts: list, metas: list, y: list[int], share: float, ask: Callable[[Views, list[set], list[int]], Told] | None = None, rounds: int = ROUNDS, exchanged: int = EXCHANGED
+) -> Model:
+    """Fit both views. ``share`` is the share of class 1 among all labels; ``ask`` as in :func:`told_by`."""
     y = np.array(y, float)
     if not len(y) or y.min() == y.max():
         p = float(np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3))
@@ -136,29 +162,27 @@ def co_train(texts: list, metas: list, y: list[int], pool_texts: list, pool_meta
     mean, spread = raw.mean(0), raw.std(0) + 1e-3
     mean[0], spread[0] = 0, 1  # the constant stays
     views = [(raw - mean) / spread, _dense([metadata(m) for m in metas])]
-    pools = [(np.array([form(t) for t in pool_texts]).reshape(-1, raw.shape[1]) - mean) / spread, _dense([metadata(m) for m in pool_metas])]
     kept = np.arange(len(y)) % 4 == 0  # for calibration
     train = np.flatnonzero(~kept)
-    extra: list[dict[int, int]] = [{}, {}]
+    extra: list[dict[int, tuple]] = [{}, {}]  # row: its class, weight and features in the view
     decay = (1e-3, 1e-2)
     balance = lambda v: np.where(v > 0, share / max(v.mean(), 1e-3), (1 - share) / max(1 - v.mean(), 1e-3))
 
     def fit(v: int) -> np.ndarray:
-        rows, tags = list(extra[v]), np.array(list(extra[v].values()), float)
-        goal = np.concatenate((y[train], tags))
-        weight = np.concatenate((balance(y[train]), np.full(len(tags), 0.3)))
-        return logistic(np.concatenate((views[v][train], pools[v][rows])), goal, weight, decay[v])
+        tags, told, rows = zip(*extra[v].values(), strict=True) if extra[v] else ((), (), np.zeros((0, views[v].shape[1])))
+        goal = np.concatenate((y[train], np.array(tags, float)))
+        weight = np.concatenate((balance(y[train]), np.array(told, float)))
+        return logistic(np.concatenate((views[v][train], np.array(rows))), goal, weight, decay[v])
 
     theta = [fit(0), fit(1)]
-    for _ in range(rounds if len(pool_texts) else 0):
-        for v in (0, 1):
-            lead = pools[v] @ theta[v]
-            told = calibrate(views[v][train] @ theta[v], y[train], weight=class_weights(y[train], share))
-            sure = 1 / (1 + np.exp(-np.clip(told[0] * lead + told[1], -30, 30)))
-            order = np.argsort(lead, kind="stable")
-            for tag, ranked, n in ((1, order[::-1], round(exchanged * share)), (0, order, round(exchanged * (1 - share)))):
-                new = [int(i) for i in ranked if int(i) not in extra[1 - v] and (sure[i] if tag else 1 - sure[i]) >= 0.9][:n]
-                extra[1 - v].update(dict.fromkeys(new, tag))
+    for _ in range(rounds if ask else 0):
+        sure = [calibrate(views[v][train] @ theta[v], y[train], weight=class_weights(y[train], share)) for v in (0, 1)]
+        got = ask(Views(theta, sure, mean, spread), [set(extra[1]), set(extra[0])], [round(exchanged * (1 - share)), round(exchanged * share)])
+        if not any(got.values()):
+            break
+        for (v, tag), rows in got.items():
+            for key, weight, x, m in rows:
+                extra[1 - v][key] = (tag, weight, _dense([np.frombuffer(m, "<u2").tolist()])[0] if v == 0 else (np.frombuffer(x) - mean) / spread)
         theta = [fit(0), fit(1)]
     held = [views[v][kept] @ theta[v] for v in (0, 1)]
     curves = tuple(calibrate(x, y[kept], weight=class_weights(y[kept], share)) for x in held)
@@ -169,20 +193,88 @@ def co_train(texts: list, metas: list, y: list[int], pool_texts: list, pool_meta
     return Model(theta[0], theta[1], curves, trust, prior, mean, spread, (len(extra[0]), len(extra[1])))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_pool: int = MOST_POOL) -> Model:
+def unlabelled(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """A written table of all rows without a label: _key (a hash of the row), source, lang, x (text measures), m (hashed metadata)."""
+
+    def run(batches):
+        for keys, ids, texts, *metas in batches:
+            x = [np.array(form(t)).tobytes() for t in texts]
+            m = [np.array(metadata(v), "<u2").tobytes() for v in zip(*metas, strict=True)]
+            yield keys, ids, metas[0], metas[1], x, m
+
+    keyed = docs.select(F.xxhash64("doc_id", "text", *META).alias("_key"), "doc_id", "text", *META)
+    kind = docs.schema["doc_id"].dataType
+    columns = [("_key", "long"), ("doc_id", kind.simpleString()), ("text", "string"), ("source", "string"), ("lang", "string"), ("n_chars", "long")]
+    out = [("_key", "long"), ("_id", kind), ("source", "string"), ("lang", "string"), ("x", "binary"), ("m", "binary")]
+    return written(map_rows(keyed, columns, out, run).join(known.select("_id"), "_id", "left_anti").drop("_id"))
+
+
+def told_by(pool: DataFrame, views: Views, taken: list[set], most: list[int]) -> Told:
+    """What either view hands over of all rows of ``pool``.
+
+    ``taken``: rows that a view has handed over before. ``most``: how many it hands over of each class.
+    Sources and languages take turns, rows of one by hash; a task keeps no more of one than could be chosen.
+    """
+    shared = pool.sparkSession.sparkContext.broadcast((views, taken, most))
+
+    def run(batches):
+        views, taken, most = shared.value
+        count, picked = Counter(), {}
+        for keys, sources, langs, xs, ms in batches:
+            if not keys:
+                continue
+            scores = views.scores(np.frombuffer(b"".join(xs)).reshape(len(xs), -1), np.frombuffer(b"".join(ms), "<u2").reshape(len(ms), -1).tolist())
+            for v, p in enumerate(scores):
+                for i in np.flatnonzero((p >= SURE) | (1 - p >= SURE)).tolist():
+                    group = (v, int(p[i] >= SURE), sources[i], langs[i])
+                    count[group] += 1
+                    if keys[i] in taken[v]:
+                        continue
+                    some = picked.setdefault(group, {})
+                    some[keys[i]] = (xs[i], ms[i])
+                    if len(some) > 2 * most[group[1]] + 50:
+                        picked[group] = {k: some[k] for k in sorted(some)[: most[group[1]]]}
+        rows = [(*g, None, c, None, None) for g, c in count.items()]
+        rows += [(*g, k, 0, *some[k]) for g, some in picked.items() for k in sorted(some)[: most[g[1]]]]
+        for lo in range(0, len(rows), 1000):
+            yield tuple(zip(*rows[lo : lo + 1000], strict=True))
+
+    out = [("v", "int"), ("tag", "int"), ("source", "string"), ("lang", "string"), ("_key", "long"), ("c", "long"), ("x", "binary"), ("m", "binary")]
+    group = ["v", "tag", "source", "lang"]
+    found = map_rows(pool, [("_key", "long"), ("source", "string"), ("lang", "string"), ("x", "binary"), ("m", "binary")], out, run)
+    found = found.groupBy(*group, "_key").agg(F.sum("c").alias("c"), F.first("x").alias("x"), F.first("m").alias("m"))
+    each = Window.partitionBy(*group)
+    turn = found.withColumn("of", F.sum("c").over(each)).where("_key is not null").withColumn("turn", F.row_number().over(each.orderBy("_key")))
+    turn = written(turn.where(F.col("turn") <= F.when(F.col("tag") == 1, most[1]).otherwise(most[0])))
+    told = {}
+    for v in (0, 1):
+        for tag in (0, 1):
+            rows = turn.where(f"v = {v} and tag = {tag}").orderBy("turn", F.xxhash64("source", "lang"), "_key").limit(most[tag]).collect()
+            n = Counter((r.source, r.lang) for r in rows)
+            weights = [r.of / n[r.source, r.lang] for r in rows]
+            told[v, tag] = [(r["_key"], TOLD_WEIGHT * w * len(rows) / sum(weights), bytes(r.x), bytes(r.m)) for r, w in zip(rows, weights, strict=True)]
+    drop_written(turn)
+    shared.unpersist()
+    return told
+
+
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Model:
     """A model of ``labels.quality`` over the columns text, source, lang and n_chars of ``docs``."""
     known = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_y")).where("_id is not null and _y in (0, 1)")
     known = known.groupBy("_id").agg(F.max("_y").alias("_y"))
     share = known.agg(F.avg("_y")).first()[0]
     by_hash = [F.xxhash64(F.lit(2), "_id"), F.col("_id")]
     picked = [known.where(f"_y = {y}").orderBy(*by_hash).limit(most_rows) for y in (0, 1)]
-    ids = docs.select(F.col("doc_id").alias("_id")).where("_id is not null")
-    pool = ids.join(known, "_id", "left_anti").orderBy(*by_hash).limit(most_pool).select("_id", F.lit(-1).alias("_y"))
-    chosen = F.broadcast(picked[0].unionByName(picked[1]).unionByName(pool).distinct())
+    chosen = F.broadcast(picked[0].unionByName(picked[1]))
     rows = docs.select(F.col("doc_id").alias("_id"), *(F.col(c).alias(f"_{c}") for c in ("text", *META))).join(chosen, "_id").collect()
     rows = sorted({(r[0], r[-1], r[1] or "", tuple(r[2:-1])) for r in rows}, key=lambda r: (r[0], r[1], r[2], str(r[3])))
-    told, free = [r for r in rows if r[1] >= 0], [r for r in rows if r[1] < 0]
-    return co_train([r[2] for r in told], [r[3] for r in told], [r[1] for r in told], [r[2] for r in free], [r[3] for r in free], float(share or 0.5))
+    told = [r[2] for r in rows], [r[3] for r in rows], [r[1] for r in rows]
+    if len(set(told[2])) < 2:
+        return co_train(*told, float(share or 0.5))
+    pool = unlabelled(docs, known)
+    model = co_train(*told, float(share), lambda *asked: told_by(pool, *asked))
+    drop_written(pool)
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:

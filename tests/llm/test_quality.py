@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from hopframe.llm import quality
 
@@ -66,3 +67,18 @@ def test_the_bound_on_labelled_rows_leaves_the_base_rate(spark):
         assert abs(m.prior - np.log(share / (1 - share))) < 1e-6
         assert (s >= 0.5).all()  # either form is mostly good
     assert abs(means[0] - share) < 0.06 and abs(means[1] - share) < 0.06
+
+
+def test_all_unlabelled_rows_are_offered(spark):
+    """A rare source whose rows come last by hash of id, after 2,100 others, is pseudo-labelled too."""
+    docs, labels = corpus(250, 3)
+    order = [r.id for r in spark.range(1000, 3120).selectExpr("id").orderBy(F.xxhash64(F.lit(2), "id"), "id").collect()]
+    r = random.Random(4)
+    for n, i in enumerate(order):
+        words = [r.choice(["stone", "river", "an", "other", "house"]) for _ in range(r.randint(20, 80))]
+        text = " ".join(words) + "." if n < 2100 else " ".join(w.upper() + "!!" for w in words)
+        docs.append((i, text, "en", "a" if n < 2100 else "rare", len(text), "x"))
+    m = quality.fit(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    at = quality.metadata(("rare", "en", 0))[0]
+    assert at not in {x for d in docs if d[3] != "rare" for x in quality.metadata((d[3], d[2], d[4]))}
+    assert m.meta[at] < 0
