@@ -1,3 +1,6 @@
+import zlib
+
+import numpy as np
 import pyarrow.parquet as pq
 
 import corpus_pipeline
@@ -46,3 +49,15 @@ def test_run_is_the_stages(spark, tmp_path):
     total = lambda df: sorted(map(str, df.select("doc_id", "start", "length", "ids_crc32").collect()))
     assert total(docs) == total(corpus_pipeline.run(spark, D))
     assert pq.ParquetDataset(f"{tmp_path}/4").read().num_rows > 0
+
+
+def test_the_result_has_the_token_ids(spark):
+    from tokenizers import Tokenizer
+
+    from hopframe.llm.tokens import vocabulary
+
+    docs = spark.createDataFrame([(1, "hello there, " * 700), (2, None)], "doc_id long, text string")
+    rows = sorted(dict(corpus_pipeline.STAGES)["packing"](spark, docs, D).collect(), key=lambda r: (r.doc_id, r.start))
+    ids = {i: np.frombuffer(b"".join(r.ids for r in rows if r.doc_id == i), "<u4").tolist() for i in (1, 2)}
+    assert ids == {1: [*Tokenizer.from_file(vocabulary()).encode("hello there, " * 700, add_special_tokens=False).ids, 0], 2: [0]}
+    assert all(r.ids_crc32 == zlib.crc32(r.ids) for r in rows)
