@@ -132,8 +132,7 @@ _SHAPES = [(re.compile(p), r) for p, r in ((r"[A-Z]+", "X"), (r"[a-z]+", "x"), (
 
 def features(word: str) -> tuple[str, ...]:
     """What a word says of itself: shape, core shape, length, character classes, cue."""
-    head = word[:200]  # a longer word has the features of its first 200 characters and its length
-    core = head.strip("\"'.,;:()[]<>!?")
+    core = word.strip("\"'.,;:()[]<>!?")
     short = core
     for p, r in _SHAPES:
         short = p.sub(r, short)

@@ -49,6 +49,14 @@ def test_field_learns_its_table_and_finds_new_secrets():
     assert pii.Finder(FIELD).find(["the number 4012888888881882 fails its test , 300.1.1.1 too"]) == [[]]
 
 
+def test_all_of_a_long_word_counts():
+    h = "8a1f0c3e5b7d9f2a4c6e8b0d1f3a5c7e9b2d4f6a" * 5
+    assert {"mixed", "hex"} <= set(pii.features(h + h)) and not {"mixed", "hex"} & set(pii.features(h + "-stone,river"))
+    assert "at" in pii.features("x" * 200 + "@mail") and "dots" in pii.features("1" * 200 + ".2.3.4") and "w:4" in pii.features("x" * 250 + "1" * 200)
+    find = lambda w: [(a, b, pii.KINDS[k]) for a, b, k, _ in pii.Finder(FIELD).find([f'so ist token = "{w}" und weiter'])[0]]
+    assert find(h + h) == [(16, 416, "secret")] and find(h + "zz/zz!x") == []
+
+
 def test_cut_chains_give_the_best_path():
     r, k = np.random.default_rng(2), len(pii.LABELS)
     f = pii.Field({}, np.zeros((3, 0, k)), r.normal(0, 1, (k, k)))
