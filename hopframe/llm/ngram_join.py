@@ -269,15 +269,28 @@ def _met(docs: DataFrame, loads: DataFrame, member: DataFrame, k: int, percent:
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document, the smallest id, of each group of linked documents.
 
-    Of repeated rows with that id one stays. Rows without words or without an id all stay.
+    Rows are linked by their texts alone: rows that have one id and different texts are different
+    documents. Of rows with that id and equal sets one stays. Rows without words or without an id all stay.
     """
-    marked = join(docs, k, percent)
-    gone = marked.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone  # else every text would be shuffled
-    kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    twice = marked.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
+    if not docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").limit(1).count():
+        gone = join(docs, k, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone"))
+        gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone  # else every text would be shuffled
+        return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    # ids stand on several rows: a row is told by its id and text
+    names = [F.col(f"`{n}`") for n in docs.columns]
+    keyed = docs.select(*names, F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")).alias("_key"))
+    marked = join(keyed, k, percent, id_col="_key").select(F.col("doc_id").alias("_key"), "n_shingles", F.col("component_id").alias("_group"))
+    groups = marked.where("_group <> _key").select("_group").distinct()
+    members = keyed.select("_key", F.col("doc_id").alias("_id")).join(marked.join(groups, "_group", "left_semi").distinct(), "_key").distinct()
+    members = written(members.select("_group", "_id", "_key"))
+    first = members.groupBy("_group").agg(F.min(F.struct("_id", "_key")).alias("first"))
+    gone = written(members.join(first, "_group").where("_key <> first._key").select(F.col("_key").alias("_gone")))
+    drop_written(members)
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    kept = keyed.join(gone, F.col("_key") == F.col("_gone"), "left_anti")
+    twice = marked.where("n_shingles > 0 and _key is not null").groupBy("_key").agg(F.count("*").alias("c")).where("c > 1").select(F.col("_key").alias("_twice"))
     if not twice.limit(1).count():
-        return kept
-    again = kept.join(twice.select(F.col("doc_id").alias("_twice")), F.col("doc_id") == F.col("_twice"), "left_semi")
-    once = kept.join(twice.select(F.col("doc_id").alias("_twice")), F.col("doc_id") == F.col("_twice"), "left_anti")
-    return once.unionByName(again.dropDuplicates(["doc_id"]))
+        return kept.select(*names)
+    again = kept.join(twice, F.col("_key") == F.col("_twice"), "left_semi")
+    once = kept.join(twice, F.col("_key") == F.col("_twice"), "left_anti")
+    return once.unionByName(again.dropDuplicates(["_key"])).select(*names)

@@ -77,6 +77,15 @@ def test_repeated_rows_null_ids_and_empty_tables(spark):
     assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, ""), (0, "a b c d e f"), (2, "z y x w v"), (3, "A b c d e f")]
 
 
+def test_rows_of_one_id_with_different_texts(spark):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(40))
+    near = text("n") + " more"
+    docs = [(5, text("a"), "x"), (5, text("b"), "x"), (3, text("a").upper(), "y"), (7, text("b") + " more", "z"), (8, text("c"), "x"), (8, near, "x"), (8, text("c").upper(), "x"), (9, text("n"), "w"), (8, near, "x")]
+    kept = ngram_join.one_of_each(spark.createDataFrame(docs, DOCS)).collect()
+    got = sorted((r.doc_id, r.text.lower(), r.tokens) for r in kept)
+    assert got == [(3, text("a"), "y"), (5, text("b"), "x"), (8, text("c"), "x"), (8, near, "x")]
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(8, 40)] + [(500, 500)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
