@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,40 +17,96 @@ ALNUM_LOWER = bytes(
     for c in range(256)
 )
 
-#: Rows in an Arrow batch handed to a Python worker. Documents of any length must fit.
-BATCH_ROWS = 1000
+#: Rows and bytes that a Python function gets at a time; one row may have more bytes.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def column(name: str) -> Column:
+    """The column of this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(taken: list[str], name: str) -> str:
+    """``name``, with underscores added until no taken name equals it in any case."""
+    have = {t.lower() for t in taken}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new path in the folder that the driver and all executors share.
 
-    The cluster names the folder in ``spark.checkpoint.dir``. Only where that is unset,
-    as in tests on one machine, a folder below the warehouse is used.
+    The cluster names the folder in ``spark.checkpoint.dir``. Only where that is unset and all
+    tasks run in the driver's process, as in tests, a folder below the warehouse is used.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/hopframe-{uuid.uuid4().hex}"
 
 
+def _path(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def written(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` as a table in the shared folder: its lineage ends there."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """The rows of ``df`` as a table in the shared folder: its lineage ends there.
+
+    The table goes with :func:`drop_written`, when its writing fails, or at the latest when the application ends.
+    """
+    spark = df.sparkSession
+    name = shared_dir(spark)
+    path, files = _path(spark, name)
+    try:
+        df.write.parquet(name)
+    except BaseException:
+        files.delete(path, True)
+        raise
+    files.deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(name)
 
 
 def drop_written(df: DataFrame) -> None:
     """Remove the files behind a table that :func:`written` made and nothing reads any more."""
     spark = df.sparkSession
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        path, files = _path(spark, name)
+        files.delete(path, True)
+
+
+class Scratch:
+    """Written tables that are all removed when the block ends, also if it fails."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.tables.append(written(df))
+        return self.tables[-1]
+
+    def adopt(self, df: DataFrame) -> DataFrame:
+        self.tables.append(df)
+        return df
+
+    def drop(self, df: DataFrame) -> None:
+        self.tables = [t for t in self.tables if t is not df]
+        drop_written(df)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for t in self.tables:
+            drop_written(t)
+        self.tables = []
 
 
 def release(spark: SparkSession) -> None:
@@ -59,18 +115,19 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound what a Python worker holds at a time; a smaller setting of the session stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about BATCH_ROWS and BATCH_BYTES at most."""
+    n = batch.num_rows
+    step = max(1, min(BATCH_ROWS, n * BATCH_BYTES // max(1, batch.nbytes)))
+    for lo in range(0, n, step):
+        yield batch.slice(lo, step)
 
 
 def map_rows(
     docs: DataFrame,
     columns: list[tuple[str, str]],
     out: list[tuple[str, T.DataType | str]],
-    fn: Callable[[Iterator[dict]], Iterator[dict]],
+    fn: Callable[[Iterator[tuple]], Iterator[tuple]],
 ) -> DataFrame:
     """Arrow-batched map. ``columns``: (column of docs, Spark type) that ``fn`` gets as lists, in order.
 
@@ -78,15 +135,14 @@ def map_rows(
     arrays in the order of ``out``. Other columns of docs never reach Python, so their names
     cannot clash with those of the result.
     """
-    small_batches(docs.sparkSession)
-    picked = docs.select(*[F.col(f"`{c}`").cast(t).alias(f"_{i}") for i, (c, t) in enumerate(columns)])
+    picked = docs.select(*[column(c).cast(t).alias(f"_{i}") for i, (c, t) in enumerate(columns)])
     schema = T.StructType([T.StructField(n, T.DataType.fromDDL(t) if isinstance(t, str) else t) for n, t in out])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
-        for cols in fn(tuple(c.to_pylist() for c in b.columns) for b in batches):
+        for cols in fn(tuple(c.to_pylist() for c in part.columns) for b in batches for part in slices(b)):
             arrays = [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(cols, arrow, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 

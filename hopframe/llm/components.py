@@ -1,4 +1,10 @@
-"""Connected components of links, by repeated joins; no links reach the driver."""
+"""Connected components of links by large stars and small stars; no links reach the driver.
+
+Every link points from its larger node to its smaller one. A large star moves a node's larger
+neighbours to its smallest neighbour, a small star its smaller neighbours and itself; both in
+turn leave one star for each component. Their number grows with the logarithm of the nodes, or
+its square at worst, whatever order the nodes are in. Each turn is a written table.
+"""
 
 from __future__ import annotations
 
@@ -8,22 +14,34 @@ from pyspark.sql import functions as F
 from hopframe.llm.common import drop_written, written
 
 
+def _least(edges: DataFrame) -> DataFrame:
+    return edges.groupBy("c").agg(F.min("p").alias("m"), F.count("*").alias("parents"))
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    low = _least(edges)
+    if low.where("parents > 1").limit(1).count():
+        return False
+    return not edges.join(low.select(F.col("c").alias("p")), "p", "left_semi").limit(1).count()
+
+
+def turn(edges: DataFrame) -> DataFrame:
+    """The links (c, p), each c > p, after a large star and a small star."""
+    up = _least(edges).select(F.col("c").alias("p"), "m")
+    large = edges.join(up, "p", "left").select("c", F.coalesce("m", "p").alias("p")).distinct()
+    both = large.join(_least(large).select("c", "m"), "c")
+    ends = F.when(F.col("p") == F.col("m"), F.array(F.struct("c", F.col("m").alias("p")))).otherwise(F.array(F.struct("c", F.col("m").alias("p")), F.struct(F.col("p").alias("c"), F.col("m").alias("p"))))
+    return both.select(F.explode(ends).alias("e")).select("e.*").distinct()
+
+
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, component) for each node of ``links``; component is its smallest reachable node.
-
-    Each round takes the smallest label among neighbours, then the label of that label, so the
-    rounds grow with the logarithm of a component's diameter. Every round is a written table.
-    """
-    x, y = F.col(a), F.col(b)
-    ends = written(links.select(F.explode(F.array(F.struct(x.alias("n"), y.alias("m")), F.struct(y.alias("n"), x.alias("m")))).alias("e")).select("e.*").where("n <> m").distinct())
-    labels = written(ends.groupBy("n").agg(F.min("m").alias("m")).select("n", F.least("n", "m").alias("c"), F.lit(True).alias("moved")))
-    while labels.where("moved").limit(1).count():
-        old = labels.select("n", "c")
-        near = ends.join(old.select(F.col("n").alias("m"), "c"), "m").groupBy("n").agg(F.min("c").alias("near"))
-        low = old.join(near, "n").select("n", "c", F.least("c", "near").alias("low"))
-        of_low = old.select(F.col("n").alias("low"), F.col("c").alias("jump"))
-        new = written(low.join(of_low, "low").select("n", F.least("low", "jump").alias("c"), (F.least("low", "jump") < F.col("c")).alias("moved")))
-        drop_written(labels)
-        labels = new
-    drop_written(ends)
-    return labels.select(F.col("n").alias("node"), F.col("c").alias("component"))
+    """(node, component) for each node of ``links``; component is its smallest reachable node."""
+    edges = written(links.select(F.greatest(a, b).alias("c"), F.least(a, b).alias("p")).where("c <> p").distinct())
+    while not _are_stars(edges):
+        after = written(turn(edges))
+        drop_written(edges)
+        edges = after
+    roots = edges.select(F.col("p").alias("node"), F.col("p").alias("component")).distinct()
+    out = written(edges.select(F.col("c").alias("node"), F.col("p").alias("component")).unionByName(roots))
+    drop_written(edges)
+    return out

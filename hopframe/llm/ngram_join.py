@@ -1,45 +1,57 @@
 """Exact Jaccard join of word-shingle sets by a token-group matrix.
 
-1. Documents with equal sets form a class; one document, its smallest id, stands for it.
-2. Similar classes are put into groups: each takes the smallest class that shares most of its
-   minimum hashes, the pair is verified, and verified pairs are followed to their components.
-   A group of any size is thus linked by as many pairs as it has members.
+1. Documents with equal sets form a class, known by its set's digest.
+2. Classes that share minimum hashes are dealt into parts of bounded size. In a part, the first
+   class that is not linked yet takes all those it links with; only such leaders go on, dealt
+   anew, while a part's size keeps them apart. The components of these links are the groups. A
+   group of any size is thus linked by about as many tests as it has members, also where many
+   of them resemble a class of another group and fail the test against it.
 3. The token-group matrix holds, for the tokens by which a link must show (a prefix in an order
    of rising frequency), the groups whose union of tokens has them. A group is cut into parts
    of bounded size. A class meets a part of another group only over such tokens, if their number
    and both sizes allow a link: what two prefixes do not share, the rest of one of the sets must.
+   A token of many entries is dealt over several tasks.
 4. For each such pair the overlap with the part's whole union bounds the overlap with any
-   member. Only parts whose bound reaches the threshold are opened, and members verified.
+   member. Only parts whose bound reaches the threshold are opened. A part's sets are read once
+   for a run of classes that meet it, and one link between a class and a part is enough.
 
 Step 2 only spares work: step 3 finds every link between two groups, whatever the groups are.
 
 Cases: null or wordless texts have an empty set and link with nothing; a null id is left out
-of linking and its component is null; repeated rows are copies; extra columns are ignored.
+of linking and its component is null; ids of any type that has an order will do; rows of one id
+and different texts are linked each by its own text, and their component is the smallest id in
+it; repeated rows are copies; extra columns, whatever their names, are ignored or kept; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
+from itertools import count, groupby
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hopframe.llm.common import drop_written, map_rows, release, written
+from hopframe.llm.common import Scratch, column, fresh, map_rows, release, written
 from hopframe.llm.components import components
 from hopframe.llm.shingles import digests, mix, shingle_sets
 
 #: Frequency classes of tokens, a fixed number that the driver can hold and broadcast.
 BUCKET_BITS = 17
-#: Minimum hashes by which groups are formed.
-HASHES = 8
-#: Tokens, with repetitions, in a part of a group.
-PART_TOKENS = 200_000
+#: Minimum hashes by which classes are dealt, and how many of them two classes share at least.
+HASHES, AGREE = 8, 2
+#: Tokens, with repetitions, in a part of a group, and of the classes that meet it in one task.
+PART_TOKENS, RUN_TOKENS = 50_000, 1_000_000
+#: Entries of one token that are joined with the matrix in one task.
+TOKEN_ENTRIES = 5_000
 #: Ids that may be broadcast; for more, documents and ids are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
 _SEEDS = np.random.default_rng(7).integers(1, 1 << 63, HASHES, dtype=np.uint64)
 
 
-def described(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+def described(docs: DataFrame, k: int, id_col: str, text_col: str, seed: int = 0) -> DataFrame:
     """Per document its set's size, digests and minimum hashes; per task and token bucket a count."""
 
     def run(batches):
@@ -48,7 +60,7 @@ def described(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
             n, d1, d2, low, tokens = [], [], [], [], []
             for s in shingle_sets(texts, k):
                 n.append(len(s))
-                a, b = digests(s)
+                a, b = digests(s, seed)
                 d1.append(a)
                 d2.append(b)
                 low.append(mix(s ^ _SEEDS[:, None]).min(axis=1).view(np.int64).tolist() if len(s) else [])
@@ -63,8 +75,9 @@ def described(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
             none = [None] * len(part)
             yield none, none, none, none, none, part.tolist(), loads[part].tolist()
 
-    out = [("doc_id", "long"), ("n", "int"), ("d1", "long"), ("d2", "long"), ("low", "array<long>"), ("bucket", "int"), ("load", "long")]
-    return map_rows(docs, [(id_col, "long"), (text_col, "binary")], out, run)
+    kind = docs.schema[id_col].dataType
+    out = [("id", kind), ("n", "int"), ("d1", "long"), ("d2", "long"), ("low", "array<long>"), ("bucket", "int"), ("load", "long")]
+    return map_rows(docs, [(id_col, kind.simpleString()), (text_col, "binary")], out, run)
 
 
 def bucket_ranks(counts: DataFrame) -> np.ndarray:
@@ -77,7 +90,7 @@ def bucket_ranks(counts: DataFrame) -> np.ndarray:
     return ranks
 
 
-def prefixes(docs: DataFrame, ranks, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+def prefixes(docs: DataFrame, ranks, k: int, percent: int, id_col: str, text_col: str, seed: int = 0) -> DataFrame:
     """(token, d1): the tokens of which two linked sets share one, once a class and task.
 
     Tokens are put in order by their bucket's rank, then by themselves. A token's 64 bits are
@@ -87,13 +100,13 @@ def prefixes(docs: DataFrame, ranks, k: int, percent: int, id_col: str, text_col
     def run(batches):
         rank, seen = ranks.value, set()
         shift, rest = np.uint64(64 - BUCKET_BITS), np.uint64((1 << (64 - BUCKET_BITS)) - 1)
-        for ids, texts in batches:
+        for no_id, texts in batches:
             token, owner = [], []
-            for i, s in zip(ids, shingle_sets(texts, k), strict=True):
+            for without, s in zip(no_id, shingle_sets(texts, k), strict=True):
                 n = len(s)
-                if not n or i is None:
+                if not n or without:
                     continue
-                d = digests(s)
+                d = digests(s, seed)[0]
                 if d in seen:
                     continue
                 seen.add(d)
@@ -101,169 +114,223 @@ def prefixes(docs: DataFrame, ranks, k: int, percent: int, id_col: str, text_col
                 p = n - -(-percent * n // 100) + 1
                 top = np.partition(key, p - 1)[:p] if p < n else key
                 token.append(top.view(np.int64))
-                owner.append(np.full(len(top), d[0]))
+                owner.append(np.full(len(top), d))
             if token:
-                import pyarrow as pa
-
                 yield tuple(pa.array(np.concatenate(x)) for x in (token, owner))
 
-    return map_rows(docs, [(id_col, "long"), (text_col, "binary")], [("token", "long"), ("d1", "long")], run)
+    asked = docs.select(column(id_col).isNull().alias("_no_id"), column(text_col).alias("_text"))
+    return map_rows(asked, [("_no_id", "boolean"), ("_text", "binary")], [("token", "long"), ("d1", "long")], run)
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, tokens) of the documents whose id and digest d1 are wanted; tokens are sorted 64-bit hashes.
+def sets_of(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_col: str, seed: int = 0) -> DataFrame:
+    """(d1, tokens), written: the sets of wanted rows (id, d1), as sorted 64-bit hashes.
 
     A row that repeats another gives the same set again, unless one task sees both.
     """
-    wanted = written(wanted.select("doc_id", "d1").distinct())
-    few = wanted.count() <= BROADCAST_IDS
-    hint = F.broadcast if few else lambda df: df
-    ids = hint(wanted.select(F.col("doc_id").alias("_id")).distinct())
-    picked = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_text")).join(ids, "_id", "left_semi")
-
-    def run(batches):
-        seen = set()
-        for got, texts in batches:
-            rows = []
-            for i, s in zip(got, shingle_sets(texts, k), strict=True):
-                d = digests(s)[0]
-                if (i, d) not in seen:
-                    seen.add((i, d))
-                    rows.append((i, d, s.tobytes()))
-            if rows:
-                yield tuple(zip(*rows, strict=True))
-
-    found = map_rows(picked, [("_id", "long"), ("_text", "binary")], [("doc_id", "long"), ("d1", "long"), ("tokens", "binary")], run)
-    out = written(found.join(hint(wanted), ["doc_id", "d1"], "left_semi").select("doc_id", "tokens"))
-    drop_written(wanted)
-    return out
-
-
-def common(pairs: DataFrame, keep: list[str], a: str, b: str) -> DataFrame:
-    """``keep`` and, as ``both``, the number of tokens that columns a and b have in common."""
-    fields = [(n, pairs.schema[n].dataType) for n in keep]
+    with Scratch() as keep:
+        wanted = keep(wanted.select("id", "d1").distinct())
+        few = wanted.count() <= BROADCAST_IDS
+        hint = F.broadcast if few else lambda df: df
+        picked = docs.select(column(id_col).alias("id"), column(text_col).alias("_text")).join(hint(wanted.select("id").distinct()), "id", "left_semi")
+
+        def run(batches):
+            seen = set()
+            for got, texts in batches:
+                rows = []
+                for i, s in zip(got, shingle_sets(texts, k), strict=True):
+                    d = digests(s, seed)[0]
+                    if (i, d) not in seen:
+                        seen.add((i, d))
+                        rows.append((i, d, s.tobytes()))
+                if rows:
+                    yield tuple(zip(*rows, strict=True))
+
+        kind = picked.schema["id"].dataType
+        found = map_rows(picked, [("id", kind.simpleString()), ("_text", "binary")], [("id", kind), ("d1", "long"), ("tokens", "binary")], run)
+        return written(found.join(hint(wanted), ["id", "d1"], "left_semi").select("d1", "tokens"))
+
+
+class Part:
+    """The sets of a part with the union of their tokens, and for each token the sets that have it."""
+
+    def __init__(self, sets: list[np.ndarray], percent: int):
+        self.sizes, self.percent = np.array([len(s) for s in sets], np.int64), percent
+        flat = np.concatenate(sets)
+        order = np.argsort(flat, kind="stable")
+        self.union, first = np.unique(flat[order], return_index=True)
+        self.first = np.append(first, len(flat))
+        self.owner = np.repeat(np.arange(len(sets)), self.sizes)[order]
+
+    def links(self, s: np.ndarray) -> np.ndarray | None:
+        """Which sets link with ``s``; None where the overlap with the union is too small for any."""
+        at = np.searchsorted(self.union, s)
+        at = at[self.union[np.minimum(at, len(self.union) - 1)] == s]
+        if 100 * len(at) < self.percent * len(s):
+            return None
+        n = self.first[at + 1] - self.first[at]
+        places = np.repeat(self.first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        both = np.bincount(self.owner[places], minlength=len(self.sizes))
+        return 100 * both >= self.percent * (len(s) + self.sizes - both)
+
+
+def _tokens(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint64)
+
+
+def _runs(batches, keys: int):
+    """(key, rows) of neighbouring rows that agree in the first ``keys`` columns."""
+    rows = (r for cols in batches for r in zip(*cols, strict=True))
+    return groupby(rows, key=lambda r: r[:keys])
+
+
+def led(dealt: DataFrame, percent: int) -> DataFrame:
+    """(d1, leader, n, grp, parts) of rows (part, d1, n, grp, parts, tokens): a class's leader in its part is the
+    first class there, by d1, that it links with and that has no leader but itself."""
 
     def run(batches):
-        for *kept, left, right in batches:
-            both = []
-            for x, y in zip(left, right, strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                both.append(int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()))
-            yield *kept, both
+        for _, rows in _runs(batches, 1):
+            rows = list({r[1]: r for r in rows}.values())
+            sets = [_tokens(r[5]) for r in rows]
+            part, leader = Part(sets, percent), np.full(len(rows), -1)
+            for i, s in enumerate(sets):
+                if leader[i] < 0:
+                    mine = (leader < 0) & part.links(s)
+                    leader[mine] = i
+            yield tuple(zip(*((r[1], rows[j][1], r[2], r[3], r[4]) for r, j in zip(rows, leader.tolist(), strict=True)), strict=True))
 
-    return map_rows(pairs, [*((n, t.simpleString()) for n, t in fields), (a, "binary"), (b, "binary")], [*fields, ("both", "long")], run)
+    columns = [("part", "string"), ("d1", "long"), ("n", "int"), ("grp", "long"), ("parts", "long"), ("tokens", "binary")]
+    return map_rows(dealt.repartition("part").sortWithinPartitions("part", "d1"), columns, [("d1", "long"), ("leader", "long"), *columns[2:5]], run)
 
 
-def linked(percent: int):
-    """The test of a link, in whole numbers, over both, na and nb."""
-    return F.expr(f"100 * both >= {percent} * (cast(na as bigint) + nb - both)")
+def opened(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of rows (part, run, meets, d1, tokens): members of a part (meets 0), then classes that meet it (1).
 
+    A class is linked with at most one member, as members are linked with one another.
+    """
 
-def _union_of_parts(rows: DataFrame) -> DataFrame:
-    """(part, tokens): the union of the sets of each part, of bounded size."""
-    import pandas as pd
-
-    def unite(frame: pd.DataFrame) -> pd.DataFrame:
-        whole = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in frame["tokens"]]))
-        return pd.DataFrame({"part": [frame["part"].iloc[0]], "u": [whole.tobytes()]})
-
-    return rows.groupBy("part").applyInPandas(unite, "part string, u binary")
+    def run(batches):
+        found = []
+        for _, rows in _runs(batches, 2):
+            members, part = {}, None
+            for _, _, meets, d, raw in rows:
+                if not meets:
+                    members[d] = raw
+                    continue
+                if part is None:
+                    names, part = list(members), Part([_tokens(x) for x in members.values()], percent)
+                linked = part.links(_tokens(raw))
+                if linked is not None and linked.any():
+                    found.append((d, names[int(linked.argmax())]))
+            if len(found) > 1000:
+                yield tuple(zip(*found, strict=True))
+                found = []
+        if found:
+            yield tuple(zip(*found, strict=True))
+
+    columns = [("part", "string"), ("run", "long"), ("meets", "int"), ("d1", "long"), ("tokens", "binary")]
+    return map_rows(rows.repartition("part", "run").sortWithinPartitions("part", "run", "meets", "d1"), columns, [("a", "long"), ("b", "long")], run)
+
+
+def _classes(docs: DataFrame, k: int, id_col: str, text_col: str, keep: Scratch) -> tuple[int, DataFrame, DataFrame]:
+    """A seed under which digests d1 tell all sets apart, what :func:`described` says, and the classes (d1, n, id, low)."""
+    for seed in count():
+        first = keep(described(docs, k, id_col, text_col, seed))
+        sets = first.where("bucket is null and id is not null and n > 0").groupBy("d1")
+        classes = keep(sets.agg(F.min("d2").alias("d2"), F.max("d2").alias("other"), F.first("n").alias("n"), F.min("id").alias("id"), F.first("low").alias("low")))
+        if not classes.where("d2 <> other").limit(1).count():
+            return seed, first, classes.select("d1", "n", "id", "low")
+        keep.drop(first)
+        keep.drop(classes)
+
+
+def _dealt(classes: DataFrame) -> DataFrame:
+    """(d1, grp): each class with the smallest class that shares most minimum hashes, and that class with itself."""
+    low = classes.select("d1", F.posexplode("low").alias("pos", "value"))
+    buckets = low.groupBy("pos", "value").agg(F.min("d1").alias("grp"), F.count("*").alias("c")).where("c > 1").drop("c")
+    pairs = low.join(buckets, ["pos", "value"]).where("d1 <> grp").groupBy("d1", "grp").agg(F.count("*").alias("agree"))
+    best = pairs.where(f"agree >= {AGREE}").groupBy("d1").agg(F.max(F.struct("agree", "grp")).alias("b")).select("d1", F.col("b.grp").alias("grp"))
+    return best.unionByName(best.select(F.col("grp").alias("d1"), "grp").distinct())
+
+
+def _parts(member: DataFrame, *salt) -> DataFrame:
+    """``member`` (d1, n, grp, ...) with ``parts``, the number of its group's parts, and ``part``, its own."""
+    sizes = member.groupBy("grp").agg(F.ceil(F.sum("n") / PART_TOKENS).alias("parts")).where("parts > 1")
+    each = member.join(sizes, "grp", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+    return each.withColumn("part", F.concat_ws("/", "grp", F.pmod(F.xxhash64("d1", *salt), "parts")))
+
+
+def _grouped(docs: DataFrame, classes: DataFrame, k: int, percent: int, id_col: str, text_col: str, seed: int, keep: Scratch) -> DataFrame:
+    """Links (a, b) between classes that share minimum hashes."""
+    active = keep(_dealt(classes).join(classes.select("d1", "n", "id"), "d1"))
+    sets = keep.adopt(sets_of(docs, active, k, id_col, text_col, seed))
+    links, active = None, active.select("d1", "n", "grp")
+    for turn in count():
+        dealt = _parts(active, F.lit(turn)).join(sets, "d1").select("part", "d1", "n", "grp", "parts", "tokens")
+        found = keep(led(dealt, percent))
+        linked = found.where("d1 <> leader").select(F.col("d1").alias("a"), F.col("leader").alias("b"))
+        links = linked if links is None else links.unionByName(linked)
+        split = found.where("parts > 1")
+        left, went = split.agg(F.expr("count_if(d1 = leader)"), F.expr("count_if(d1 <> leader)")).first()
+        if 10 * went <= left:  # what is still apart is left to the matrix
+            return links
+        active = split.where("d1 = leader").select("d1", "n", "grp")
+
+
+def _met(docs: DataFrame, loads: DataFrame, member: DataFrame, k: int, percent: int, id_col: str, text_col: str, seed: int) -> DataFrame:
+    """(d1, n, part), written: the classes and parts of other groups that meet over a token of their prefixes."""
+    with Scratch() as keep:
+        ranks = docs.sparkSession.sparkContext.broadcast(bucket_ranks(loads))
+        post = keep(prefixes(docs, ranks, k, percent, id_col, text_col, seed))
+        tokens = post.groupBy("token").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi"), F.ceil(F.count("*") / TOKEN_ENTRIES).cast("int").alias("salts"))
+        shared = keep(tokens.where("lo < hi").select("token", "salts"))
+        release(docs.sparkSession)
+        entry = keep(post.join(shared, "token").join(member, "d1").select("token", "salts", "d1", "n", "grp", "part").distinct())
+        keep.drop(post)
+        keep.drop(shared)
+        matrix = entry.groupBy("token", "grp", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("salts").alias("salts"))
+        matrix = matrix.select("token", F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"), F.col("grp").alias("p_grp"), F.col("part").alias("p_part"), "least", "most")
+        asked = entry.select("token", F.pmod(F.xxhash64("d1"), "salts").cast("int").alias("salt"), "d1", "n", "grp")
+        met = asked.join(matrix, ["token", "salt"]).where(f"grp > p_grp and 100 * most >= {percent} * n and {percent} * least <= 100 * n")
+        met = met.groupBy("d1", "n", F.col("p_part").alias("part")).agg(F.count("*").alias("c"), F.min("least").alias("least"), F.max("most").alias("most"))
+        rest = f"c + greatest({percent} * n + 99, {percent} * most + 99) div 100 - 1"
+        return written(met.where(f"(100 + {percent}) * ({rest}) >= {percent} * (cast(n as bigint) + least)").select("d1", "n", "part"))
+
+
+def _between(docs: DataFrame, classes: DataFrame, member: DataFrame, met: DataFrame, k: int, percent: int, id_col: str, text_col: str, seed: int, keep: Scratch) -> DataFrame:
+    """Links (a, b), written, between classes and the parts of other groups that they meet."""
+    runs = keep(met.groupBy("part").agg(F.ceil(F.sum("n") / RUN_TOKENS).alias("runs")))
+    inside = member.join(runs, "part").select("part", F.explode(F.expr("sequence(0, runs - 1)")).alias("run"), F.lit(0).alias("meets"), "d1")
+    asking = met.join(runs, "part").select("part", F.pmod(F.xxhash64("d1"), "runs").alias("run"), F.lit(1).alias("meets"), "d1")
+    rows = keep(inside.unionByName(asking))
+    wanted = classes.select("id", "d1").join(rows.select("d1").distinct(), "d1", "left_semi")
+    sets = keep.adopt(sets_of(docs, wanted, k, id_col, text_col, seed))
+    return keep(opened(rows.join(sets, "d1"), percent))
 
 
 def join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_shingles, class_id (smallest id with an equal set), component_id."""
-    spark = docs.sparkSession
-    temporary = []
-
-    def keep(df: DataFrame) -> DataFrame:
-        temporary.append(written(df))
-        return temporary[-1]
-
-    first = keep(described(docs, k, id_col, text_col))
-    each = first.where("bucket is null").select("doc_id", "n", "d1", "d2", "low")
-    # 1: classes
-    classes = keep(
-        each.where("doc_id is not null and n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.first("low").alias("low"))
-    )
-    # 2: groups
-    links = keep(_stars(docs, classes, k, percent, id_col, text_col))
-    groups = components(links, "a", "b")
-    temporary.append(groups)
-    release(spark)
-    # 3: the matrix
-    member = keep(_members(classes, groups))
-    met = keep(_met(docs, first.where("bucket is not null"), member, k, percent, id_col, text_col))
-    release(spark)
-    # 4: bounds, then members
-    inside = keep(member.join(met.select("part").distinct(), "part", "left_semi").select("part", F.col("rep").alias("b"), F.col("n").alias("nb"), "d1"))
-    wanted = member.join(met.select(F.col("a").alias("rep")), "rep", "left_semi").select(F.col("rep").alias("doc_id"), "d1")
-    sets = sets_of(docs, wanted.union(inside.select("b", "d1")), k, id_col, text_col)
-    temporary.append(sets)
-    of_a = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta"))
-    of_b = inside.join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb")), "b")
-    unions = _union_of_parts(of_b.select("part", F.col("tb").alias("tokens")))
-    opened = common(met.join(of_a, "a").join(unions, "part"), ["a", "na", "part"], "ta", "u").where(f"100 * both >= {percent} * na")
-    opened = keep(opened.select("a", "na", "part").distinct())
-    tried = opened.join(of_b, "part").where(f"100 * nb >= {percent} * na and 100 * na >= {percent} * nb").join(of_a, "a")
-    more = keep(common(tried, ["a", "b", "na", "nb"], "ta", "tb").where(linked(percent)).select("a", "b"))
-    release(spark)
-    if more.limit(1).count():
-        groups = components(links.select("a", "b").union(more), "a", "b")
-        temporary.append(groups)
-    found = groups.select(F.col("node").alias("rep"), "component")
-    named = each.select("doc_id", "n", "d1", "d2").join(classes.select("n", "d1", "d2", "rep"), ["n", "d1", "d2"], "left").join(found, "rep", "left")
-    alone = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
-    out = written(named.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("class_id"), alone.alias("component_id")))
-    for t in temporary:
-        drop_written(t)
-    return out
-
-
-def _stars(docs: DataFrame, classes: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Verified links (a, b) of classes a with the one smaller class b that shares most minimum hashes."""
-    low = classes.select("rep", F.posexplode("low").alias("pos", "value"))
-    buckets = low.groupBy("pos", "value").agg(F.min("rep").alias("pivot"), F.count("*").alias("c")).where("c > 1").drop("c")
-    pairs = low.join(buckets, ["pos", "value"]).where("rep <> pivot").groupBy("rep", "pivot").agg(F.count("*").alias("agree"))
-    best = pairs.groupBy("rep").agg(F.max(F.struct("agree", (-F.col("pivot")).alias("p"))).alias("b"))
-    best = best.where(f"b.agree >= {HASHES // 4}").select(F.col("rep").alias("a"), (-F.col("b.p")).alias("b"))
-    size = classes.select("rep", "n", "d1")
-    sized = best.join(size.toDF("a", "na", "da"), "a").join(size.toDF("b", "nb", "db"), "b")
-    sized = written(sized.where(f"100 * nb >= {percent} * na and 100 * na >= {percent} * nb"))
-    sets = sets_of(docs, sized.select(F.col("a").alias("doc_id"), F.col("da").alias("d1")).union(sized.select("b", "db")), k, id_col, text_col)
-    both = sized.join(sets.toDF("a", "ta"), "a").join(sets.toDF("b", "tb"), "b")
-    out = written(common(both, ["a", "b", "na", "nb"], "ta", "tb").where(linked(percent)).select("a", "b").distinct())
-    drop_written(sized)
-    drop_written(sets)
-    return out
-
-
-def _members(classes: DataFrame, groups: DataFrame) -> DataFrame:
-    """(rep, n, d1, grp, part): each class with its group and the part of bounded size that it falls into."""
-    member = classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n", "d1", F.coalesce("component", "rep").alias("grp"))
-    parts = member.groupBy("grp").agg(F.ceil(F.sum("n") / PART_TOKENS).alias("parts"))
-    return member.join(parts, "grp").select("rep", "n", "d1", "grp", F.concat_ws("/", "grp", F.pmod(F.xxhash64("rep"), "parts")).alias("part"))
-
-
-def _met(docs: DataFrame, loads: DataFrame, member: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(a, na, part): the classes and parts of other groups that meet over a token of their prefixes."""
-    ranks = docs.sparkSession.sparkContext.broadcast(bucket_ranks(loads))
-    post = written(prefixes(docs, ranks, k, percent, id_col, text_col))
-    shared = post.groupBy("token").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi"))
-    shared = written(shared.where("lo < hi").select("token"))
-    release(docs.sparkSession)
-    entry = written(post.join(shared, "token", "left_semi").join(member, "d1").select("token", "rep", "n", "grp", "part").distinct())
-    drop_written(post)
-    drop_written(shared)
-    matrix = entry.groupBy("token", "grp", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    matrix = matrix.select("token", F.col("grp").alias("p_grp"), F.col("part").alias("p_part"), "least", "most")
-    met = entry.join(matrix, "token").where(f"grp > p_grp and 100 * most >= {percent} * n and {percent} * least <= 100 * n")
-    met = met.groupBy(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("p_part").alias("part")).agg(F.count("*").alias("c"), F.min("least").alias("least"), F.max("most").alias("most"))
-    rest = f"c + greatest({percent} * na + 99, {percent} * most + 99) div 100 - 1"
-    out = written(met.where(f"(100 + {percent}) * ({rest}) >= {percent} * (cast(na as bigint) + least)").select("a", "na", "part"))
-    drop_written(entry)
-    return out
+    spark, where = docs.sparkSession, (k, percent, id_col, text_col)
+    with Scratch() as keep:
+        seed, first, classes = _classes(docs, k, id_col, text_col, keep)
+        links = _grouped(docs, classes, *where, seed, keep)
+        groups = keep.adopt(components(links, "a", "b"))
+        release(spark)
+        member = classes.join(groups.withColumnRenamed("node", "d1"), "d1", "left").select("d1", "n", F.coalesce("component", "d1").alias("grp"))
+        member = keep(_parts(member).select("d1", "n", "grp", "part"))
+        met = keep.adopt(_met(docs, first.where("bucket is not null"), member, *where, seed))
+        release(spark)
+        more = _between(docs, classes, member, met, *where, seed, keep)
+        if more.limit(1).count():
+            groups = keep.adopt(components(links.unionByName(more), "a", "b"))
+        known = classes.select("d1", F.col("id").alias("class_id"))
+        found = groups.select(F.col("node").alias("d1"), "component").join(known, "d1")
+        least = found.groupBy("component").agg(F.min("class_id").alias("component_id"))
+        named = known.join(found.select("d1", "component").join(least, "component").drop("component"), "d1", "left")
+        each = first.where("bucket is null").select("id", "n", "d1")
+        alone = each.where("id is null or n = 0").select("id", "n", F.col("id").alias("class_id"), F.col("id").alias("component_id"))
+        linked = each.where("id is not null and n > 0").join(named, "d1").select("id", "n", "class_id", F.coalesce("component_id", "class_id").alias("component_id"))
+        rows = linked.unionByName(alone)
+        return written(rows.select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), "class_id", "component_id"))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -272,25 +339,26 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     Rows are linked by their texts alone: rows that have one id and different texts are different
     documents. Of rows with that id and equal sets one stays. Rows without words or without an id all stay.
     """
+    key, gone_key = fresh(docs.columns, "_key"), fresh(docs.columns, "_gone")
     if not docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").limit(1).count():
-        gone = join(docs, k, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone"))
+        gone = join(docs, k, percent).where("component_id <> doc_id").select(F.col("doc_id").alias(gone_key))
         gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone  # else every text would be shuffled
-        return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+        return docs.join(gone, F.col("doc_id") == F.col(gone_key), "left_anti")
     # ids stand on several rows: a row is told by its id and text
-    names = [F.col(f"`{n}`") for n in docs.columns]
-    keyed = docs.select(*names, F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")).alias("_key"))
-    marked = join(keyed, k, percent, id_col="_key").select(F.col("doc_id").alias("_key"), "n_shingles", F.col("component_id").alias("_group"))
-    groups = marked.where("_group <> _key").select("_group").distinct()
-    members = keyed.select("_key", F.col("doc_id").alias("_id")).join(marked.join(groups, "_group", "left_semi").distinct(), "_key").distinct()
-    members = written(members.select("_group", "_id", "_key"))
-    first = members.groupBy("_group").agg(F.min(F.struct("_id", "_key")).alias("first"))
-    gone = written(members.join(first, "_group").where("_key <> first._key").select(F.col("_key").alias("_gone")))
-    drop_written(members)
+    names = [column(n) for n in docs.columns]
+    keyed = docs.select(*names, F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")).alias(key))
+    marked = join(keyed, k, percent, id_col=key).select(F.col("doc_id").alias("k"), "n_shingles", F.col("component_id").alias("g"))
+    groups = marked.where("g <> k").select("g").distinct()
+    members = keyed.select(F.col(key).alias("k"), F.col("doc_id").alias("id")).join(marked.join(groups, "g", "left_semi").select("k", "g").distinct(), "k").distinct()
+    with Scratch() as keep:
+        members = keep(members.select("g", "id", "k"))
+        first = members.groupBy("g").agg(F.min(F.struct("id", "k")).alias("first"))
+        gone = written(members.join(first, "g").where("k <> first.k").select(F.col("k").alias(gone_key)))
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    kept = keyed.join(gone, F.col("_key") == F.col("_gone"), "left_anti")
-    twice = marked.where("n_shingles > 0 and _key is not null").groupBy("_key").agg(F.count("*").alias("c")).where("c > 1").select(F.col("_key").alias("_twice"))
+    kept = keyed.join(gone, F.col(key) == F.col(gone_key), "left_anti")
+    twice = marked.where("n_shingles > 0 and k is not null").groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select(F.col("k").alias(gone_key))
     if not twice.limit(1).count():
         return kept.select(*names)
-    again = kept.join(twice, F.col("_key") == F.col("_twice"), "left_semi")
-    once = kept.join(twice, F.col("_key") == F.col("_twice"), "left_anti")
-    return once.unionByName(again.dropDuplicates(["_key"])).select(*names)
+    again = kept.join(twice, F.col(key) == F.col(gone_key), "left_semi")
+    once = kept.join(twice, F.col(key) == F.col(gone_key), "left_anti")
+    return once.unionByName(again.dropDuplicates([key])).select(*names)

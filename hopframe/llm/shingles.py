@@ -101,7 +101,7 @@ def shingle_sets(texts: list[bytes | None], k: int = 5) -> Iterator[np.ndarray]:
             at = to
 
 
-def digests(s: np.ndarray) -> tuple[int, int]:
+def digests(s: np.ndarray, seed: int = 0) -> tuple[int, int]:
     """Two signed 64-bit digests of a sorted set."""
-    raw = xxhash.xxh3_128_digest(s.tobytes())
+    raw = xxhash.xxh3_128_digest(s.tobytes(), seed)
     return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)

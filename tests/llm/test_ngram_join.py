@@ -3,6 +3,8 @@ import re
 
 import pytest
 
+from hopframe.llm import common
+from hopframe.llm import components as components_of
 from hopframe.llm import ngram_join
 from hopframe.llm.components import components
 
@@ -52,10 +54,11 @@ def corpus(seed):
     return docs
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_components_equal_brute_force(spark, seed, monkeypatch):
+def test_components_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "PART_TOKENS", 300)
-    docs = [*corpus(seed), (9001, None, None), (9002, "", None), (9003, " \t\n", None), (9004, "Ä b", None), (9005, "ä b", None)]
+    monkeypatch.setattr(ngram_join, "RUN_TOKENS", 2000)
+    monkeypatch.setattr(ngram_join, "TOKEN_ENTRIES", 3)
+    docs = [*corpus(1), (9001, None, None), (9002, "", None), (9003, " \t\n", None), (9004, "Ä b", None), (9005, "ä b", None)]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(spark.createDataFrame(docs, DOCS)).collect()}
     assert got == brute(docs)
 
@@ -63,7 +66,7 @@ def test_components_equal_brute_force(spark, seed, monkeypatch):
 def test_links_missed_by_the_groups_are_found(spark, monkeypatch):
     """With no groups at all, the matrix alone gives the same components."""
     docs = corpus(3)
-    monkeypatch.setattr(ngram_join, "HASHES", 4000)
+    monkeypatch.setattr(ngram_join, "AGREE", 4000)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(spark.createDataFrame(docs, DOCS)).collect()}
     assert got == brute(docs)
 
@@ -86,6 +89,73 @@ def test_rows_of_one_id_with_different_texts(spark):
     assert got == [(3, text("a"), "y"), (5, text("b"), "x"), (8, text("c"), "x"), (8, near, "x")]
 
 
+def near_groups(n):
+    """Two groups of n near copies; their bases are three words of 100 apart."""
+    r = random.Random(n)
+    base = [f"w{i}" for i in range(100)]
+    other = list(base)
+    for i in (20, 50, 80):
+        other[i] = f"other{i}"
+    docs = [(0, " ".join(base), "x"), (n, " ".join(other), "x")]
+    for g, words in enumerate((base, other)):
+        for i in range(1, n):
+            ws = list(words)
+            ws[r.choice((0, 1, 2, 97, 98, 99))] = f"{g}-{i}"
+            docs.append((g * n + i, " ".join(ws), "x"))
+    return docs
+
+
+def test_work_grows_with_the_groups_not_with_their_pairs(spark, monkeypatch):
+    """All pairs would grow four times from 120 to 240 members; met classes and led classes grow about twice."""
+    monkeypatch.setattr(ngram_join, "PART_TOKENS", 2000)
+    seen = []
+    led, opened = ngram_join.led, ngram_join.opened
+    monkeypatch.setattr(ngram_join, "led", lambda df, p: seen.append(df.count()) or led(df, p))
+    monkeypatch.setattr(ngram_join, "opened", lambda df, p: seen.append(df.where("meets = 1").select("d1").distinct().count()) or opened(df, p))
+    total = {}
+    for n in (120, 240):
+        seen.clear()
+        docs = near_groups(n)
+        got = {r.doc_id: r.component_id for r in ngram_join.join(spark.createDataFrame(docs, DOCS)).collect()}
+        assert got == {i: c for i, (_, c) in brute(docs).items()}
+        total[n] = sum(seen)
+    assert total[120] <= 6 * 240 and total[240] <= 2.5 * total[120]
+
+
+def test_string_ids_clashing_names_long_texts_and_reused_ids(spark):
+    long = " ".join(f"x{i}" for i in range(60_000))
+    rows = [("b", "one two three four five six", 1, 1), ("a", "One two three four five six", 1, 1), ("c", "q w e r t y", 1, 1), ("c", long, 1, 1), ("d", long + " end", 1, 1), (None, "q w e r t y", 1, 1)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, _gone int, `a``b` int")
+    got = sorted((r.doc_id or "", r.n_shingles, r.component_id) for r in ngram_join.join(df).collect())
+    assert got == [("", 2, None), ("a", 2, "a"), ("b", 2, "a"), ("c", 2, "c"), ("c", 59_996, "c"), ("d", 59_997, "c")]
+    kept = ngram_join.one_of_each(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id or "", len(r.text)) for r in kept.collect()) == [("", 11), ("a", 27), ("c", 11), ("c", len(long))]
+    unique = ngram_join.one_of_each(spark.createDataFrame(rows[:3], df.schema))
+    assert unique.columns == df.columns and {r.doc_id for r in unique.collect()} == {"a", "c"}
+
+
+def test_nothing_is_left_behind(spark, tmp_path, monkeypatch):
+    names = iter(range(1000))
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"{tmp_path}/{next(names)}")
+    ngram_join.join(spark.createDataFrame(corpus(4)[:40], DOCS))
+    assert len(list(tmp_path.iterdir())) == 1  # the result
+    with pytest.raises(Exception):
+        ngram_join.join(spark.range(5).selectExpr("id as doc_id", "cast(raise_error('no') as string) as text"))
+    assert len(list(tmp_path.iterdir())) == 1
+
+
+def test_components_in_few_turns_in_any_order(spark, monkeypatch):
+    turns = []
+    turn = components_of.turn
+    monkeypatch.setattr(components_of, "turn", lambda e: turns.append(1) or turn(e))
+    ids = list(range(400))
+    random.Random(1).shuffle(ids)
+    links = [(ids[i], ids[i + 1]) for i in range(399)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
+    assert got == dict.fromkeys(range(400), 0) and len(turns) <= 10
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(8, 40)] + [(500, 500)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
