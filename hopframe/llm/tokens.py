@@ -1,9 +1,11 @@
-"""Byte-level BPE ids of whole texts, with a cache of space-led pieces.
-
-Ids are those of the ``tokenizers`` file: where its merges stand in the order of their ids, the
-ids of a piece follow from its vocabulary alone, and ``tiktoken`` computes them from that
-vocabulary some three times faster. For any other file, and for texts that cannot be cut at
-their spaces, ``tokenizers`` itself encodes.
+"""Token ids of whole texts, with a cache of space-led pieces where the file allows it.
+
+Ids are those of the ``tokenizers`` file. A file whose definition is plainly byte-level (see
+``PLAIN``) never joins what stands before a single space with what follows it, so texts are cut
+there and each distinct piece is encoded once; where its merges also stand in the order of
+their ids, the ids of a piece follow from its vocabulary alone, and ``tiktoken`` computes them
+from that vocabulary some three times faster. With any other file, and for texts that cannot be
+cut at their spaces, ``tokenizers`` itself encodes whole texts, without truncation or padding.
 """
 
 from __future__ import annotations
@@ -14,6 +16,10 @@ import re
 
 import numpy as np
 
+#: What a file says besides vocabulary, merges and added tokens where texts may be cut at their spaces.
+PLAIN = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}, "post_processor": None}
+PLAIN_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+
 #: A space before other white space, or at the end, is no safe place to cut a text.
 _UNSAFE = re.compile(r" (?:\s|\Z)")
 
@@ -32,13 +38,33 @@ def _byte_of_letter() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def is_plain(told: dict) -> bool:
+    """Whether a tokenizer file is byte-level and nothing in it looks beyond a space-led piece."""
+    model = {k: v for k, v in told["model"].items() if k not in ("vocab", "merges")}
+    added = told.get("added_tokens") or []
+    return (
+        all(told.get(k) == v for k, v in PLAIN.items())
+        and PLAIN_MODEL | model == PLAIN_MODEL
+        and told["model"].get("merges") is not None
+        and not any(x.get("lstrip") or x.get("rstrip") or x.get("single_word") for x in added)
+    )
+
+
+def _joined(text: str, pieces: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    n = np.array([len(b) // 4 for _, b in pieces], np.int64)
+    chars = np.array([c for c, _ in pieces], np.int64)
+    told = np.frombuffer(b"".join(b for _, b in pieces), "<u4").astype(np.int64)
+    begin = (told >> 1) + np.repeat(np.cumsum(chars) - chars, n)
+    return begin, np.append(begin + (told & 1), len(text))[1:] if len(begin) else begin
+
+
 class PieceEncoder:
     """Ids of whole texts, equal to ``Tokenizer.encode(text, add_special_tokens=False)``.
 
-    The byte-level pre-tokenizer never joins what stands before a single space with what
-    follows it, so a text is the sequence of its space-led pieces. Each distinct piece is
-    encoded once while it stays in a cache of about ``most`` pieces. With ``spans``, a token is
-    given by the index of its first character instead of its id.
+    Where the file is plain, a text is the sequence of its space-led pieces, and each distinct
+    piece is encoded once while it stays in a cache of about ``most`` pieces. With ``spans``, a
+    token is given, instead of by its id, by twice the index of its first character, plus 1 if
+    the token before it has bytes of that character too.
     """
 
     def __init__(self, path: str, most: int = 500_000, spans: bool = False):
@@ -49,7 +75,11 @@ class PieceEncoder:
         self.cache, self.first, self.core = {}, {}, None
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
-        self.special = [x["content"] for x in told["added_tokens"]]
+        self.special, self.plain = [x["content"] for x in told.get("added_tokens") or []], is_plain(told)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        if not self.plain:
+            return
         model = told["model"]
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         letters = _byte_of_letter()
@@ -64,7 +94,11 @@ class PieceEncoder:
                 self.size[i] = len(word)
 
     def _value(self, e) -> bytes:
-        return np.array([a for a, _ in e.offsets] if self.spans else e.ids, dtype="<u4").tobytes()
+        if not self.spans:
+            return np.array(e.ids, dtype="<u4").tobytes()
+        at = np.array(e.offsets, np.int64).reshape(-1, 2)
+        inside = np.append(0, at[:-1, 1])[: len(at)] > at[:, 0]
+        return (2 * at[:, 0] + inside).astype("<u4").tobytes()
 
     def _learn(self, words: list[str]) -> None:
         """Cache what a space and each of these words give."""
@@ -78,10 +112,11 @@ class PieceEncoder:
         to = np.cumsum(self.size[ids])
         cut = np.searchsorted(to, last) + 1
         if self.spans:
-            lead = np.cumsum((np.frombuffer(b"".join(raw), np.uint8) & 0xC0) != 0x80) - 1
+            starts = (np.frombuffer(b"".join(raw), np.uint8) & 0xC0) != 0x80  # bytes that begin a character
+            lead, first = np.cumsum(starts) - 1, to - self.size[ids]
             begin = np.concatenate(([0], cut[:-1]))
-            ids = lead[to - self.size[ids]]
-            ids = (ids - np.repeat(ids[begin], cut - begin)).astype("<u4")
+            at = lead[first]
+            ids = (2 * (at - np.repeat(at[begin], cut - begin)) + ~starts[first]).astype("<u4")
         flat, at = ids.tobytes(), 0
         for w, n in zip(words, (4 * cut).tolist(), strict=True):
             self.cache[w] = flat[at:n]
@@ -99,8 +134,18 @@ class PieceEncoder:
             got = self.first[text] = self._whole(text) if text else b""
         return got
 
+    def offsets(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text its tokens' first characters and ends."""
+        if not self.plain:
+            got = (np.array(e.offsets, np.int64).reshape(-1, 2) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False))
+            return [(x[:, 0], x[:, 1]) for x in got]
+        return [_joined(t, p) for t, p in zip(texts, self.encode(texts), strict=True)]
+
     def encode(self, texts: list[str | None]) -> list:
-        """For each text its ids as little-endian bytes (null: none) or, with spans, pairs of a piece's characters and its tokens' first characters."""
+        """For each text its ids as little-endian bytes (null: none) or, with spans, pairs of a piece's characters and its tokens."""
+        if not self.plain:
+            got = [self._value(e) for e in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+            return [[(len(t or ""), x)] for t, x in zip(texts, got, strict=True)] if self.spans else got
         if len(self.cache) > self.most:
             self.cache.clear()
         if len(self.first) > self.most:
