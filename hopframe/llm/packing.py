@@ -1,18 +1,27 @@
 """Harmonic packing: reciprocal-capacity classes, each filling its bins with a fixed count.
 
-A document's ids are cut into pieces of length capacity/k for k = 1, 2, 4, ...; class k puts
-exactly k pieces into a sequence. Every task fills the bins of its own rows and needs no other
-task: no shuffle, no lock, and a lost task is simply run again. What is left open at a task's
-end (at most one bin a class) is packed largest first; the last, partial bin is divided into
-sequences whose lengths are powers of two, so nothing is padded.
-
-Cases: null and empty texts are one end token; repeated rows are packed once each; a null id
-stays null; extra columns are ignored; an empty table gives no rows.
+A document of n tokens that fits belongs to the class of the largest count k with k * n <=
+capacity; a bin of class k takes exactly k whole documents. Counts are 1 to 16 and the powers of
+two above, so a class holds lengths from about capacity/(k+1) to capacity/k. What room a full bin
+has left is filled with tokens of documents that are longer than the capacity and must be cut in
+any case; what such a document has beyond that is cut into whole sequences, and its rest is
+stock for further rooms.
+
+Every task fills the bins of its own rows and needs no other task: no shuffle, no lock, and a
+lost task is simply run again. It holds at most ``WAITING`` bins with room, one open bin a class
+and ``STOCK`` sequences of stock. Where bins wait and no stock comes, the emptiest is dissolved
+and its documents fill the others' rooms, whole where one fits, else cut. At a task's end open
+bins are dissolved in the same way. What is left is laid end to end; the last, partial sequence
+is divided into sequences whose lengths are powers of two. So nothing is padded.
+
+Cases: null and empty texts are one end token; documents of any length are cut, not shortened;
+repeated rows are packed once each; a null id stays null; extra columns are ignored; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right, insort
 
 import numpy as np
 import pyarrow as pa
@@ -25,55 +34,147 @@ from hopframe.llm.tokens import PieceEncoder, vocabulary
 
 #: A task numbers its sequences from its partition's number times this.
 SEQUENCES_A_TASK = 1 << 40
+#: Bins of a task that wait for their room to be filled, and its stock in sequences.
+WAITING, STOCK = 256, 64
 
+#: A run of one document's tokens: (document, first token, ids, tokens of the document).
+Piece = tuple[object, int, bytes, int]
 
-def cuts(n: int, capacity: int) -> list[int]:
-    """Piece lengths of n tokens: whole capacities, then capacity/k by falling size."""
-    out, size = [capacity] * (n // capacity), capacity
-    rest = n % capacity
-    while rest:
-        size //= 2
-        if rest >= size:
-            out.append(size)
-            rest -= size
-    return out
+
+def size(p: Piece) -> int:
+    return len(p[2]) // 4
+
+
+def split(p: Piece, n: int) -> tuple[Piece, Piece]:
+    doc, start, ids, total = p
+    return (doc, start, ids[: 4 * n], total), (doc, start + n, ids[4 * n :], total)
+
+
+def counts(capacity: int) -> list[int]:
+    """The counts of the classes."""
+    return [*range(1, min(16, capacity) + 1), *(1 << i for i in range(5, capacity.bit_length()))]
 
 
 class Bins:
-    """Open bins of one task. Pieces are any tuples whose first entry is their length."""
+    """The bins of one task. Methods give the rows (sequence, offset, piece) of the bins that they complete."""
 
     def __init__(self, capacity: int, first: int):
-        self.capacity, self.next, self.open = capacity, first, {}
-
-    def add(self, piece: tuple) -> list[tuple]:
-        """(sequence, offset, piece) of the bin that this piece completes, if it does."""
-        size = piece[0]
-        got = self.open.setdefault(size, [])
+        self.capacity, self.next, self.counts = capacity, first, counts(capacity)
+        self.open: dict[int, list[Piece]] = {}
+        self.waiting: list[tuple[int, int, list[Piece]]] = []  # by room: (room, number, pieces)
+        self.number, self.stock, self.stocked = 0, [], 0
+
+    def add(self, piece: Piece) -> list[tuple]:
+        """Put in one whole document."""
+        out: list[tuple] = []
+        n = size(piece)
+        if n > self.capacity:
+            rest = self._fill(piece, out)
+            while rest and size(rest) >= self.capacity:
+                head, rest = split(rest, self.capacity)
+                self._emit([head], out)
+            if rest and size(rest):
+                self._keep(rest, out)
+            return out
+        k = self.counts[bisect_right(self.counts, self.capacity // n) - 1]
+        got = self.open.setdefault(k, [])
         got.append(piece)
-        if len(got) * size < self.capacity:
-            return []
-        del self.open[size]
-        return self._emit(got)
+        if len(got) == k:
+            del self.open[k]
+            self._full(got, out)
+        return out
+
+    def close(self) -> list[tuple]:
+        out: list[tuple] = []
+        left = sorted((p for got in self.open.values() for p in got), key=size, reverse=True)
+        self.open = {}
+        for p in left:
+            if not self._place(p, out):
+                self.stock.append(p)
+        while self.waiting and self.stock:
+            if rest := self._fill(self.stock.pop(0), out):
+                self.stock.insert(0, rest)
+        while self.waiting:
+            self._dissolve(out)
+        self.stocked = sum(map(size, self.stock))
+        while self.stocked:
+            self._lay(min(self.capacity, 1 << (self.stocked.bit_length() - 1)), out)
+        return out
 
-    def _emit(self, pieces: list[tuple]) -> list[tuple]:
-        out, at = [], 0
+    def _emit(self, pieces: list[Piece], out: list[tuple]) -> None:
+        at = 0
         for p in pieces:
             out.append((self.next, at, p))
-            at += p[0]
+            at += size(p)
         self.next += 1
-        return out
 
-    def close(self) -> Iterator[tuple]:
-        left = [p for size in sorted(self.open, reverse=True) for p in self.open[size]]
-        self.open = {}
-        total, i = sum(p[0] for p in left), 0
-        while total:
-            size, took, at = min(self.capacity, 1 << (total.bit_length() - 1)), 0, i
-            while took < size:
-                took += left[i][0]
-                i += 1
-            yield from self._emit(left[at:i])
-            total -= size
+    def _full(self, pieces: list[Piece], out: list[tuple]) -> None:
+        """A bin has its count: fill its room from the stock, or let it wait."""
+        room = self.capacity - sum(map(size, pieces))
+        while room and self.stock:
+            p = self.stock.pop()
+            if size(p) > room:
+                p, rest = split(p, room)
+                self.stock.append(rest)
+            pieces.append(p)
+            room -= size(p)
+            self.stocked -= size(p)
+        self._wait(room, pieces, out)
+        while len(self.waiting) > WAITING:
+            self._dissolve(out)
+
+    def _wait(self, room: int, pieces: list[Piece], out: list[tuple]) -> None:
+        if room:
+            self.number += 1
+            insort(self.waiting, (room, self.number, pieces))
+        else:
+            self._emit(pieces, out)
+
+    def _fill(self, p: Piece, out: list[tuple]) -> Piece | None:
+        """Fill rooms with a piece's tokens, the largest first; what is left of it, if bins no longer wait."""
+        while self.waiting:
+            room, _, pieces = self.waiting.pop()
+            if size(p) <= room:
+                self._wait(room - size(p), [*pieces, p], out)
+                return None
+            head, p = split(p, room)
+            self._emit([*pieces, head], out)
+        return p
+
+    def _place(self, p: Piece, out: list[tuple]) -> bool:
+        """Put a piece whole into the smallest room that has it."""
+        at = bisect_left(self.waiting, (size(p), 0))
+        if at == len(self.waiting):
+            return False
+        room, _, pieces = self.waiting.pop(at)
+        self._wait(room - size(p), [*pieces, p], out)
+        return True
+
+    def _dissolve(self, out: list[tuple]) -> None:
+        """Take the emptiest waiting bin apart to fill others."""
+        _, _, pieces = self.waiting.pop()
+        for p in sorted(pieces, key=size, reverse=True):
+            if not self._place(p, out) and (rest := self._fill(p, out)):
+                self._keep(rest, out)
+
+    def _keep(self, p: Piece, out: list[tuple]) -> None:
+        self.stock.append(p)
+        self.stocked += size(p)
+        while self.stocked > STOCK * self.capacity:
+            self._lay(self.capacity, out)
+
+    def _lay(self, n: int, out: list[tuple]) -> None:
+        """Lay n tokens of the stock end to end as a sequence."""
+        pieces, room = [], n
+        while room:
+            p = self.stock.pop(0)
+            if size(p) > room:
+                p, rest = split(p, room)
+                self.stock.insert(0, rest)
+            pieces.append(p)
+            room -= size(p)
+        self.stocked -= n
+        self._emit(pieces, out)
 
 
 def pack(
@@ -81,7 +182,7 @@ def pack(
 ) -> DataFrame:
     """A row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
-    ``capacity`` is a power of two. ``tokenizer`` is the path of a byte-level BPE file.
+    ``capacity`` is a power of two. ``tokenizer`` is the path of a tokenizer file, by default a byte-level BPE.
     """
     if capacity < 1 or capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
@@ -93,21 +194,18 @@ def pack(
 
         def columns(rows):
             seq, off, pieces = zip(*rows, strict=True)
-            length, doc, start, ids, total = zip(*pieces, strict=True)
-            return doc, start, length, pa.array(ids, pa.binary()), total, seq, off
+            doc, start, ids, total = zip(*pieces, strict=True)
+            return doc, start, list(map(size, pieces)), pa.array(ids, pa.binary()), total, seq, off
 
         for docs_, texts in batches:
             for lo in range(0, len(texts), 250):
                 rows = []
                 for doc, ids in zip(docs_[lo : lo + 250], encoder.encode(texts[lo : lo + 250]), strict=True):
                     ids += end
-                    n, at = len(ids) // 4, 0
-                    for size in cuts(n, capacity):
-                        rows += bins.add((size, doc, at, ids[4 * at : 4 * (at + size)], n))
-                        at += size
+                    rows += bins.add((doc, 0, ids, len(ids) // 4))
                 if rows:
                     yield columns(rows)
-        rows = list(bins.close())
+        rows = bins.close()
         if rows:
             yield columns(rows)
 

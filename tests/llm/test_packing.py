@@ -60,6 +60,65 @@ def test_token_starts_equal_the_tokenizers_offsets():
     for x, pieces in zip(texts, e.encode(texts), strict=True):
         got, at = [], 0
         for chars, starts in pieces:
-            got += (np.frombuffer(starts, "<u4") + at).tolist()
+            got += ((np.frombuffer(starts, "<u4") >> 1) + at).tolist()
             at += chars
         assert got == [a for a, _ in t.encode(x, add_special_tokens=False).offsets] and at == len(x)
+
+
+def test_other_tokenizer_files_equal_tokenizers(tmp_path):
+    """Files with another normaliser, prefix space, post-processor or model are not cut at spaces."""
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    told = json.load(open(vocabulary(), encoding="utf-8"))
+    changes = [{"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": told["pre_tokenizer"] | {"add_prefix_space": True}}, {"truncation": {"direction": "Right", "max_length": 5, "strategy": "LongestFirst", "stride": 0}}]
+    paths = [public_tokenizers.path("word_bpe_49k.json")]
+    for i, c in enumerate(changes):
+        (tmp_path / f"{i}.json").write_text(json.dumps(told | c))
+        paths.append(str(tmp_path / f"{i}.json"))
+    texts = ["Hello World, it's HERE", "no lead", "", None, "Ä b  C\nD \U0001f642 end " * 3]
+    for path in paths:
+        t = Tokenizer.from_file(path)
+        t.no_truncation()
+        ids, spans = PieceEncoder(path).encode(texts), PieceEncoder(path, spans=True).offsets([x or "" for x in texts])
+        for x, got, (a, b) in zip(texts, ids, spans, strict=True):
+            e = t.encode(x or "", add_special_tokens=False)
+            assert np.frombuffer(got, "<u4").tolist() == e.ids, (path, x)
+            assert list(zip(a.tolist(), b.tolist(), strict=True)) == e.offsets, (path, x)
+
+
+def packed(lengths, capacity=1024):
+    bins = packing.Bins(capacity, 0)
+    rows = [r for i, n in enumerate(lengths) for r in bins.add((i, 0, bytes(4 * n), n))] + bins.close()
+    got, seqs = {}, {}
+    for seq, off, (doc, start, ids, total) in rows:
+        got.setdefault(doc, []).append((start, len(ids) // 4))
+        assert seqs.get(seq, 0) == off and total == lengths[doc]
+        seqs[seq] = off + len(ids) // 4
+    for i, n in enumerate(lengths):
+        at = 0
+        for start, k in sorted(got[i]):
+            assert start == at and k > 0
+            at += k
+        assert at == n
+    assert all(n == capacity or (n < capacity and n & (n - 1) == 0) for n in seqs.values())
+    fits = [i for i, n in enumerate(lengths) if n <= capacity]
+    return sum(len(got[i]) == 1 for i in fits) / max(1, len(fits)), rows
+
+
+def test_documents_stay_whole_in_bins_of_their_class():
+    r = random.Random(2)
+    mixed = [max(1, int(r.lognormvariate(6.2, 1.1))) for _ in range(4000)]
+    whole, rows = packed(mixed)
+    assert whole > 0.97
+    seqs = {}
+    for seq, _, (doc, *_rest) in rows:
+        seqs.setdefault(seq, []).append(mixed[doc])
+    assert sum(all(1024 // n == k for n in [x for x in ns if x <= 1024]) for ns in seqs.values() for k in [sum(x <= 1024 for x in ns)] if 0 < k <= 16) > 500
+    for lengths in ([1] * 3000, [1024] * 9, [600] * 900, [700, 300] * 400, [5000] * 50, [1], [], [513] * 7 + [3], [r.randint(513, 1024) for _ in range(1500)]):
+        packed(lengths)
+    packed([r.randint(1, 40) for _ in range(500)], capacity=16)
+    assert packing.counts(8) == [1, 2, 3, 4, 5, 6, 7, 8] and packing.counts(64)[-3:] == [16, 32, 64]
+    assert packed([700, 300] * 400)[0] > 0.9
