@@ -9,8 +9,8 @@ stock for further rooms.
 
 Every task fills the bins of its own rows and needs no other task: no shuffle, no lock, and a
 lost task is simply run again. It holds at most ``WAITING`` bins with room, one open bin a class
-and ``STOCK`` sequences of stock. Where bins wait and no stock comes, the emptiest is dissolved
-and its documents fill the others' rooms, whole where one fits, else cut. At a task's end open
+and ``STOCK`` sequences of stock. Where more wait and no stock comes, one is dissolved and
+its documents fill the others' rooms, whole where one fits, else cut. At a task's end open
 bins are dissolved in the same way. What is left is laid end to end; the last, partial sequence
 is divided into sequences whose lengths are powers of two. So nothing is padded.
 
@@ -151,8 +151,10 @@ class Bins:
         return True
 
     def _dissolve(self, out: list[tuple]) -> None:
-        """Take the emptiest waiting bin apart to fill others."""
-        _, _, pieces = self.waiting.pop()
+        """Take a waiting bin apart to fill others: one whose largest piece fits whole into the largest room, else the emptiest."""
+        at, largest = min(enumerate(max(map(size, b[2])) for b in self.waiting), key=lambda x: x[1])
+        others = self.waiting[-1 if at < len(self.waiting) - 1 else -2][0] if len(self.waiting) > 1 else 0
+        _, _, pieces = self.waiting.pop(at if largest <= others else -1)
         for p in sorted(pieces, key=size, reverse=True):
             if not self._place(p, out) and (rest := self._fill(p, out)):
                 self._keep(rest, out)
