@@ -62,3 +62,26 @@ def test_spans_go_and_clean_documents_stay(spark):
     assert rounds == got
     assert set(got) == {1, 2, 4} and got[1].text == f"Intro {own}, ! end" and got[2].text == own and got[4].text is None
     assert got[1].spans == "s"
+
+
+def test_the_automaton_is_small_and_long_texts_and_odd_names_are_fine(spark):
+    r = random.Random(7)
+    zipf = [f"word{int(r.paretovariate(0.7)) % 20_000}" for _ in range(60_000)]
+    items = [(str(i), [w.encode() for w in zipf[i * 60 : i * 60 + 60]]) for i in range(1000)]
+    text = sum(len(w) + 1 for _, ws in items for w in ws)
+    a = decontam.SuffixAutomaton(items, 10)
+    assert a.bytes() < 12 * text
+    for i in (0, 17, 999):
+        spans, found = a.spans([b"x", *items[i][1][5:30], b"y"])
+        assert str(i) in found and spans == [[1, 25]]
+    long = " ".join(r.choice(["alpha", "beta", "gamma", "delta"]) + str(r.randrange(400)) for _ in range(100_000))
+    cut = long.split()[50_000:50_012]
+    docs = [(1, long, 1, "s"), (2, "clean words only", 2, "s"), (2, "clean words only", 2, "s")]
+    d = spark.createDataFrame(docs, "doc_id long, text string, _spans int, `a``b` string")
+    b = spark.createDataFrame([(5, " ".join(cut)), (6, "q " * 30)], "item_id long, text string")
+    for more in ({}, {"round_bytes": 60}):
+        rows = sorted(decontam.decontaminate(d, b, **more).collect())
+        assert [x[0] for x in rows] == [1, 2, 2] and rows[1][1] == "clean words only"
+        assert rows[0].text.split() == long.split()[:50_000] + long.split()[50_012:]
+    (one,) = decontam.report(decontam.matches(d.where("doc_id = 1"), b)).collect()
+    assert (one.n_words, one.n_hit, one.n_items) == (100_000, 12, 1)
