@@ -1,9 +1,10 @@
 """Toxicity by subword-bag embeddings under a linear softmax, trained jointly in numpy.
 
 A word is the mean of the vectors of its character n-grams, with its boundaries, hashed into a
-table, so a misspelling that was never seen shares most of its vectors with what was. Runs of
-words are averaged and go through one linear softmax over the two classes; a document is what
-its most toxic run says, so a few words count in a text of any length. The n-gram table and the
+table, so a misspelling that was never seen shares most of its vectors with what was. Every run
+of ``RUN`` successive words is averaged and goes through one linear softmax over the two classes;
+a document is what its most toxic run says, so a few words count in a text of any length, and
+where in the text they stand does not matter. The n-gram table and the
 softmax are trained together, with the document's label alone; runs weigh equally at first and
 the leading one more and more.
 
@@ -16,8 +17,9 @@ reads every whole text of every row.
 
 Cases: null, empty and wordless texts score the model's prior for an empty run; rows with a null
 id are scored and count as held out; a repeated row is scored each time; labels that are null, or of
-ids outside the table, are ignored; extra columns are ignored; with no or one class of labels
-every score is that class's share, 0.5 where there is none.
+ids outside the table, are ignored; an id on several rows is a labelled row by each text; texts of
+any length are read whole; extra columns are ignored; an empty table gives no rows; with no or one
+class of labels every score is that class's share, 0.5 where there is none.
 """
 
 from __future__ import annotations
@@ -31,9 +33,11 @@ from pyspark.sql import functions as F
 from hopframe.llm.common import map_rows
 
 #: Labelled rows of each class that the fit reads at most.
-MOST_ROWS = 2500
+MOST_ROWS = 4000
 #: Hashed n-grams, their lengths, and words of a run.
 BUCKETS, GRAMS, RUN = 1 << 17, (3, 4, 5, 6), 4
+#: Words of the documents that the fit computes together.
+BLOCK_WORDS = 400_000
 #: A score from which a document is predicted toxic.
 THRESHOLD = 0.7
 
@@ -41,8 +45,8 @@ _SEP = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in r
 
 
 def words_of(text: str | None) -> list[bytes]:
-    """Distinct lower-case words, runs of letters and digits, in order: repeating one adds nothing."""
-    return list(dict.fromkeys(text.lower().encode().translate(_SEP).split())) if text else []
+    """Lower-case words, runs of letters and digits, in order."""
+    return text.lower().encode().translate(_SEP).split() if text else []
 
 
 def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -70,8 +74,13 @@ def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return found[order], np.concatenate(([0], np.cumsum(count)[:-1]))
 
 
-def _runs(n: int) -> np.ndarray:
-    return np.arange(0, n, RUN)
+def run_means(value: np.ndarray) -> np.ndarray:
+    """The mean of each run of RUN successive values; of all of them where there are fewer."""
+    n = min(RUN, len(value))
+    total = value[: len(value) - n + 1].copy()
+    for j in range(1, n):
+        total += value[j : len(value) - n + 1 + j]
+    return total / n
 
 
 @dataclass
@@ -90,7 +99,7 @@ class Model:
 class Scorer:
     """Scores of texts, with a bounded cache of words."""
 
-    def __init__(self, model: Model, most: int = 500_000):
+    def __init__(self, model: Model, most: int = 200_000):
         self.model, self.most, self.cache = model, most, {}
 
     def leads(self, texts: list[str | None]) -> np.ndarray:
@@ -106,8 +115,7 @@ class Scorer:
         get = self.cache.__getitem__
         for i, ws in enumerate(words):
             if ws:
-                v, at = np.fromiter(map(get, ws), float, len(ws)), _runs(len(ws))
-                out[i] += (np.add.reduceat(v, at) / np.minimum(RUN, len(ws) - at)).max()
+                out[i] += run_means(np.fromiter(map(get, ws), float, len(ws))).max()
         return out
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
@@ -115,7 +123,7 @@ class Scorer:
 
 
 def train(
-    texts: list[str], toxic: list[int], dims: int = 8, rounds: int = 120, rate: float = 0.2, seed: int = 1, share: float | None = None
+    texts: list[str], toxic: list[int], dims: int = 8, rounds: int = 80, rate: float = 0.2, seed: int = 1, share: float | None = None
 ) -> Model:
     """The n-gram table and the softmax, fitted together by Adagrad over all texts.
 
@@ -126,24 +134,24 @@ def train(
         p = min(max(y.mean() if len(y) else 0.5, 1e-4), 1 - 1e-4)
         return Model(np.zeros(BUCKETS), 0.0, 1.0, float(np.log(p / (1 - p))))
     known: dict[bytes, int] = {}
-    bags = [[known.setdefault(w, len(known)) for w in words_of(t)] for t in texts]
-    keep = np.array([i for i, b in enumerate(bags) if b])
+    bags = [np.fromiter((known.setdefault(w, len(known)) for w in words_of(t)), np.int32) for t in texts]
+    keep = np.array([i for i, b in enumerate(bags) if len(b)])
     sampled = np.ones(len(y)) if share is None else class_weights(y, share)
     y, sampled = y[keep], sampled[keep]
-    count = np.array([len(bags[i]) for i in keep])
-    word = np.concatenate([np.array(bags[i], np.int32) for i in keep])
-    runs = [_runs(n) for n in count]
-    begin = np.concatenate(([0], np.cumsum(count)[:-1]))
-    run_at = np.concatenate([r + b for r, b in zip(runs, begin, strict=True)])
-    run_size = np.diff(np.append(run_at, len(word)))
-    doc_at = np.concatenate(([0], np.cumsum([len(r) for r in runs])[:-1]))
-    run_doc = np.repeat(np.arange(len(keep)), np.diff(np.append(doc_at, len(run_at))))
+    bags = [bags[i] for i in keep]
+    blocks, lo, held = [], 0, 0  # documents whose runs are computed together: bounded working memory
+    for i, b in enumerate(bags):
+        if held and held + len(b) > BLOCK_WORDS:
+            blocks.append((lo, i))
+            lo, held = i, 0
+        held += len(b)
+    blocks.append((lo, len(bags)))
     vocabulary, n_words = list(known), len(known)
-    del bags, known
-    parts = []  # (first word, n-grams of some words, where each word's begin, their number): bounded working memory
+    del known
+    parts = []  # (first word, n-grams of some words, where each word's begin, their number)
     for lo in range(0, n_words, 20_000):
         flat, at = subwords(vocabulary[lo : lo + 20_000])
-        parts.append((lo, flat.astype(np.int32), at, np.diff(np.append(at, len(flat)))))
+        parts.append((lo, flat.astype(np.int32), at.astype(np.int32), np.diff(np.append(at, len(flat))).astype(np.int32)))
     del vocabulary, flat
 
     def word_values(gram: np.ndarray) -> np.ndarray:
@@ -154,42 +162,55 @@ def train(
     soft = rng.normal(0, 0.1, (dims, 2)).astype(np.float32)
     bias = np.zeros(2)
     seen = [np.full_like(table, 1e-6), np.full_like(soft, 1e-6), np.full_like(bias, 1e-6)]
-    weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
     for step in range(rounds):
         sharp = max(0.0, (step - rounds // 6) / (rounds / 6))
         w, b = soft[:, 1] - soft[:, 0], bias[1] - bias[0]
-        value = word_values(table @ w)
-        lead = np.add.reduceat(value[word], run_at) / run_size + b  # of each run
-        top = np.maximum.reduceat(lead, doc_at)
-        if sharp > 4:
-            share = (lead == top[run_doc]).astype(float)
-        else:
-            share = np.exp(sharp * (lead - top[run_doc]))
-        share /= np.add.reduceat(share, doc_at)[run_doc]
-        z = np.add.reduceat(share * lead, doc_at)
-        slip = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
-        per_run = share * slip[run_doc]
-        used = np.flatnonzero(np.abs(per_run) > 1e-9)
-        sizes = run_size[used]
-        places = np.repeat(run_at[used] - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
-        by_word = np.bincount(word[places], np.repeat(per_run[used] / sizes, sizes), n_words)
+        value, by_word, slips = word_values(table @ w), np.zeros(n_words), 0.0
+        for lo, hi in blocks:
+            slips += _block_step(bags[lo:hi], value, b, y[lo:hi], weight[lo:hi], sharp, by_word)
         by_gram = np.zeros(BUCKETS)
         for lo, f, at, n in parts:
             by_gram += np.bincount(f, np.repeat(by_word[lo : lo + len(at)] / n, n), BUCKETS)
         by_gram = by_gram.astype(np.float32)
         d_w = table.T @ by_gram
-        gradients = [np.outer(by_gram, w), np.stack([-d_w, d_w], 1), np.array([-1, 1]) * slip.sum()]
+        gradients = [np.outer(by_gram, w), np.stack([-d_w, d_w], 1), np.array([-1, 1]) * slips]
         for p, g, s in zip((table, soft, bias), gradients, seen, strict=True):
             s += g * g
             p -= rate * g / np.sqrt(s)
     w, b = soft[:, 1] - soft[:, 0], float(bias[1] - bias[0])
     model = Model((table @ w).astype(float), b, 1.0, 0.0)
     value = word_values(model.gram)
-    top = np.maximum.reduceat(np.add.reduceat(value[word], run_at) / run_size, doc_at) + b
+    top = np.array([run_means(value[x]).max() for x in bags]) + b
     model.scale, model.shift = calibrate(top, y, weight=sampled)
     return model
 
 
+def _block_step(bags: list[np.ndarray], value: np.ndarray, bias: float, y: np.ndarray, weight: np.ndarray, sharp: float, by_word: np.ndarray) -> float:
+    """Add a block's gradient by word to ``by_word``; its gradient of the bias.
+
+    Runs of a document weigh by exp(sharp * lead); from a sharpness of 4 on the leading runs alone count.
+    """
+    word, size = np.concatenate(bags), np.array([len(x) for x in bags])
+    n_runs = np.maximum(size - RUN + 1, 1)
+    doc_at = np.concatenate(([0], np.cumsum(n_runs)[:-1]))
+    doc = np.repeat(np.arange(len(bags)), n_runs)
+    length = np.minimum(size, RUN)[doc]
+    first = np.arange(len(doc)) - doc_at[doc] + np.concatenate(([0], np.cumsum(size)[:-1]))[doc]
+    total = np.concatenate(([0.0], np.cumsum(value[word])))
+    lead = (total[first + length] - total[first]) / length + bias
+    top = np.maximum.reduceat(lead, doc_at)
+    gap = lead - top[doc]
+    share = (gap > -1e-9).astype(float) if sharp > 4 else np.exp(sharp * gap)
+    share /= np.add.reduceat(share, doc_at)[doc]
+    z = np.add.reduceat(share * lead, doc_at)
+    slip = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
+    each = share * slip[doc] / length
+    edges = np.bincount(first, each, len(word) + 1) - np.bincount(first + length, each, len(word) + 1)
+    by_word += np.bincount(word, np.cumsum(edges)[:-1], len(by_word))
+    return float(slip.sum())
+
+
 def class_weights(y: np.ndarray, share: float) -> np.ndarray:
     """Weights under which class 1 has this share of the rows; all 1 where the rows are of one class."""
     mean = float(y.mean()) if len(y) else 0.0
