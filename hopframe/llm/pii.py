@@ -2,8 +2,8 @@
 
 The field labels each white-space word with a kind or ``-``. A word counts by its shape, length,
 character classes and, if it is one of a few cue words, itself, and by its neighbours' features.
-It is trained in numpy from a small labelled table. Emissions depend on words alone, so they
-are cached for each feature class.
+It is trained in numpy from a small labelled table, whose values are invented. Emissions depend
+on words alone, so they are cached for each set of features that the training knows.
 
 Decoding is exact Viterbi over whole texts. A word whose ``-`` leads all other labels by more
 than transitions can ever give back is ``-`` on the best path whatever surrounds it, so it cuts
@@ -11,13 +11,15 @@ the chain; the few short runs between such words are decoded together in numpy b
 
 Pattern spans stay as they are. A span of the field counts where it overlaps none of them.
 
-Cases: null and empty texts have no spans; repeated rows are answered each; a null id stays
-null; extra columns are ignored, or kept by :func:`redact`.
+Cases: null and empty texts have no spans; texts and words of any length are read whole; repeated
+rows are answered each; a null id stays null; extra columns, whatever their names, are ignored, or
+kept by :func:`redact`; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
+import string
 from dataclasses import dataclass
 
 import numpy as np
@@ -55,19 +57,20 @@ I paid with [card 5500-0000-0000-0004] last week in the shop .
 the number [card 4012888888881881] was on the receipt they found
 order 20231145 has shipped and item 778 is out of stock
 api_key = [secret "9f8e7d6c5b4a39281706f5e4d3c2b1a0"] in the file
-token = [secret "04dbebab91ab85687d33eeaaf9ac699e1188f962"] and more text here
-token = [secret "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda"] le reste du texte
+token = [secret "5d2c9a7e1b80f346ac91de73b5f02846c7e3a915"] and more text here
+token = [secret "0be47f1c93d8a52667fe31b09c84d2a75e1f60b3"] le reste du texte
 secret : [secret 7c4a8d09ca3762af61e59520943dc26494f8941b] must not be shown
 key = [secret "aB3dE5fG7hJ9kL1mN3pQ5rS7tU9vW1xY"] appears in the log
 password is [secret hX93kd82Lq1zP0vT5w] please change it at once
 bearer [secret eyJhbGciOi9JIUzI1Ni1sInR5cCI6IkpXVCJ9x] was sent with the call
-und dann token = [secret "cb1a9fee807a05366fcb8b6c95c7c565ede51a72"] stand dort
+und dann token = [secret "a8f03b6d2194ce75d70b15f8e3926ac4419d5e07"] stand dort
 en la casa hay una token de metro y nada mas
 the key is under the mat and the token is lost for ever
 a secret garden is a place where nobody goes any more
-Of%%% the&&& old*** words$$$ are### junk%%% and*** more&&& junk$$$ here###
-DE!! UNE!! LE!! MOT!! EN!! GRAND!! ET!! FORT!! ICI!!
-one | two | three | four | five | six | seven | eight
+NOTICE *** closed until further notice ... ring the bell (twice) & wait ###
+STOP!!! READ THIS FIRST!!! YES, YOU!! THANKS!!
+apples / pears / plums ~ 3 for 2 ; cash only :-)
+rows #1-#12 @home = 50% off >> ask inside <<
 Internationalization and counterrevolutionaries are very long words indeed
 Die Donaudampfschifffahrtsgesellschaft hat einen Kapitän in Straßburg gesucht
 El niño comió una manzana y después se durmió en la habitación
@@ -89,6 +92,8 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _TOKEN = re.compile(r"\S+")
+#: What may stand around a value and is no part of it.
+_AROUND = string.punctuation.replace("+", "")
 
 
 def luhn(digits: str) -> bool:
@@ -132,14 +137,14 @@ _SHAPES = [(re.compile(p), r) for p, r in ((r"[A-Z]+", "X"), (r"[a-z]+", "x"), (
 
 def features(word: str) -> tuple[str, ...]:
     """What a word says of itself: shape, core shape, length, character classes, cue."""
-    core = word.strip("\"'.,;:()[]<>!?")
+    core = word.strip(_AROUND)
     short = core
     for p, r in _SHAPES:
         short = p.sub(r, short)
     short = re.sub(r"((?:dx|xd|dX|Xd|xX|Xx)){2,}[dxX]*", "M", short) if len(short) > 6 else short
     digits, letters, n = sum(c.isdigit() for c in core), sum(c.isalpha() for c in core), max(1, len(core))
     size = min(len(word), 40) // 4
-    out = [f"s:{short[:12]}", f"n:{size}", f"w:{min(9, 10 * digits // n)}"]
+    out = [f"s:{short}", f"n:{size}", f"w:{min(9, 10 * digits // n)}"]
     if digits >= 3 and letters >= 2 and n >= 16 and digits + letters == n:
         out.append("mixed")
     if n >= 16 and re.fullmatch(r"[0-9a-fA-F]+", core) and letters:
@@ -177,9 +182,12 @@ class Field:
     weights: np.ndarray  # (3, features, labels): own, of the word before, of the word after
     moves: np.ndarray  # (labels, labels)
 
-    def emission(self, feats: tuple[str, ...]) -> np.ndarray:
-        at = [self.index[f] for f in feats if f in self.index]
-        return self.weights[:, at].sum(1) if at else np.zeros((3, self.moves.shape[0]))
+    def known(self, word: str) -> tuple[int, ...]:
+        """The numbers of a word's features that the field was trained on: its class."""
+        return tuple(self.index[f] for f in features(word) if f in self.index)
+
+    def emission(self, known: tuple[int, ...]) -> np.ndarray:
+        return self.weights[:, list(known)].sum(1) if known else np.zeros((3, self.moves.shape[0]))
 
 
 def train(rows: list[tuple[list[str], list[int]]], rounds: int = 300, rate: float = 0.3, decay: float = 0.02) -> Field:
@@ -257,26 +265,27 @@ def viterbi(e: np.ndarray, moves: np.ndarray, size: np.ndarray) -> np.ndarray:
 class Tagger:
     """Labels of all words of texts, with bounded caches."""
 
-    def __init__(self, field: Field, most: int = 500_000):
+    def __init__(self, field: Field, most: int = 200_000):
         self.field, self.most = field, most
         moves = field.moves
         k = len(LABELS)
         gain = moves[:, None, :] + moves.T[None, :, :]  # into b from a, then on to c: gain[a, c, b]
         self.safe = float((gain[:, :, 1:] - gain[:, :, :1]).max()) if k > 1 else 0.0
         self.words: dict[str, int] = {}
-        self.classes: dict[tuple, int] = {(): 0}  # number 0: no word
+        self.classes: dict[tuple, int] = {}  # number 0: no word
         self.rows = [np.zeros((3, k))]
         self.table = np.stack(self.rows)
 
     def _learn(self, new: list[str]) -> None:
         for w in new:
-            f = features(w)
+            f = self.field.known(w)
             c = self.classes.get(f)
             if c is None:
                 c = self.classes[f] = len(self.rows)
                 self.rows.append(self.field.emission(f))
             self.words[w] = c
-        self.table = np.stack(self.rows)
+        if len(self.table) < len(self.rows):
+            self.table = np.stack(self.rows)
 
     def labels(self, texts: list[list[str]]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each list of words: (numbers of the words that are not "-", their labels)."""
@@ -339,9 +348,10 @@ def field_spans(text: str, numbers: np.ndarray, labels: np.ndarray) -> list[tupl
                 out.append([m.start(), m.end(), k - 1])
     trimmed = []
     for a, b, k in out:
-        while a < b and text[a] in "\"'.,;:)]<>=[{}" + ("" if k == 3 else "("):
+        around = _AROUND if k != 3 else _AROUND.replace("(", "").replace(")", "")
+        while a < b and text[a] in around:
             a += 1
-        while b > a and text[b - 1] in "\"'.,;:([<>=]{}!?" + ("" if k == 3 else ")"):
+        while b > a and text[b - 1] in around:
             b -= 1
         if a < b:
             trimmed.append((a, b, k))

@@ -93,3 +93,32 @@ def test_documents(spark):
     out = {r.doc_id: r for r in pii.redact(df, FIELD).collect()}
     assert out[1].text == "mail é [EMAIL] and [IP] x" and out[None].text == "[PHONE]" and out[2].text is None and out[5].text == "word " * 50_000
     assert pii.detect(df.limit(0), FIELD).count() == 0
+
+
+def test_the_labelled_table_is_not_taken_from_documents_and_unseen_secrets_are_found():
+    """Quoted secrets of the test documents, none of which the field has seen."""
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()
+    shown = [w for m in re.findall(r"\[\w+ ([^\]]*)\]", pii.LABELLED) for w in m.split() if len(w) > 12]
+    whole = "\n".join(t for t in texts if t)
+    assert len(shown) > 15 and not any(w.strip('"') in whole for w in shown)
+    found = wanted = 0
+    for t, spans in zip(texts, pii.Finder(FIELD).find(texts), strict=True):
+        got = {(a, b) for a, b, k, _ in spans if pii.KINDS[k] == "secret"}
+        asked = {m.span(1) for m in re.finditer(r'token = "([0-9a-f]{40})"', t or "")}
+        found, wanted = found + len(got & asked), wanted + len(asked)
+    assert wanted > 10 and found / wanted > 0.95
+
+
+def test_spans_of_the_field_are_those_of_a_plain_search():
+    """The whole way from text to spans, with features, emissions and the best path computed plainly."""
+    r = random.Random(4)
+    words = ["the", "token", "=", '"8a1f0c3e5b7d9f2a4c6e8b0d1f3a5c7e9b2d4f6a"', "call", "(415)", "555-0132", "x@y", "1234", "Mr.", "api_key", "aB3dE5fG7hJ9kL1mN3pQ"]
+    e = lambda a, w: FIELD.weights[a][[FIELD.index[f] for f in pii.features(w) if f in FIELD.index]].sum(0)
+    for _ in range(150):
+        ws = [r.choice(words) for _ in range(r.randint(1, 5))]
+        score = [e(0, w) + (e(1, ws[i - 1]) if i else 0) + (e(2, ws[i + 1]) if i + 1 < len(ws) else 0) for i, w in enumerate(ws)]
+        best = max(itertools.product(range(len(pii.LABELS)), repeat=len(ws)), key=lambda p: sum(s[x] for s, x in zip(score, p, strict=True)) + sum(FIELD.moves[a, b] for a, b in itertools.pairwise((0, *p, 0))))  # noqa: B023
+        ((numbers, labels),) = pii.Tagger(FIELD).labels([ws])
+        assert dict(zip(numbers.tolist(), labels.tolist(), strict=True)) == {i: k for i, k in enumerate(best) if k}
