@@ -8,15 +8,20 @@ are merged; a merged span counts where the template's words it covers reach ``co
 begin at one word, those with most of their template covered. The
 join compares the words besides their hash, so spans hold no hash collisions.
 
-Cases: null and empty texts have no words, no labels and score 0; repeated rows are reported
-once each; a null id stays null; extra columns are ignored.
+Cases: null and empty texts have no words, no labels and score 0; texts of any length are read
+whole; repeated rows are reported once each; a null id stays null; extra columns, whatever their
+names, are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from hopframe.llm.common import column
+
 #: Phrases that count wherever their words stand consecutively.
 BASE = [
     ("mit", "under the mit license"),
@@ -55,12 +60,9 @@ def templates(spark: SparkSession, base: list, more: list, k: int) -> DataFrame:
 
 
 def words(text) -> F.Column:
-    """Words of a text column after lower-casing.
-
-    ``lower`` also changes letters beyond A-Z; no word of a template has one, and what it makes
-    of them stays outside ASCII or, for the Kelvin sign, is the letter k.
-    """
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), _GAPS), "")
+    """Words of a text column after lower-casing A-Z."""
+    lower = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    return F.array_remove(F.split(lower, _GAPS), "")
 
 
 def scan(docs: DataFrame, base: list = BASE, more: list = TEMPLATES, k: int = K, gap: int = 2, coverage: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -69,14 +71,15 @@ def scan(docs: DataFrame, base: list = BASE, more: list = TEMPLATES, k: int = K,
     Spans are the merged ones: label, first word, end word, covered share of the template.
     """
     told = templates(docs.sparkSession, base, more, k)
-    each = docs.select(F.col(f"`{id_col}`").alias("doc_id"), words(F.col(f"`{text_col}`").cast("string")).alias("ws")).withColumn("row", F.monotonically_increasing_id())
-    at = each.select("row", "doc_id", "ws", F.posexplode_outer("ws").alias("pos", "w"))
-    grams = [F.col("w"), *(F.get("ws", F.col("pos") + j) for j in range(1, k))]
-    same = F.xxhash64(*grams) == F.col("h")
+    each = docs.select(column(id_col).alias("doc_id"), words(column(text_col).cast("string")).alias("ws")).withColumn("row", F.monotonically_increasing_id())
+    gram = lambda i: F.struct(*(F.get("ws", i + j).alias(f"w{j}") for j in range(k)))
+    grams = F.transform(F.sequence(F.lit(0), F.greatest(F.size("ws") - k, F.lit(0))), gram)
+    at = each.select("row", "doc_id", F.size("ws").cast("long").alias("n_words"), F.posexplode(grams).alias("pos", "g"))
+    same = F.xxhash64(*(F.col(f"g.w{j}") for j in range(k))) == F.col("h")
     for j in range(k):
-        same = same & (grams[j] == F.col(f"g{j}"))
-    hits = at.join(F.broadcast(told), same, "left").where("tid is not null or pos = 0 or pos is null")
-    hits = hits.select("row", "doc_id", F.size("ws").cast("long").alias("n_words"), "tid", "label", "is_base", "m", "tpos", (F.col("pos") - F.col("tpos")).alias("diagonal"))
+        same = same & (F.col(f"g.w{j}") == F.col(f"g{j}"))
+    hits = at.join(F.broadcast(told), same, "left").where("tid is not null or pos = 0")
+    hits = hits.select("row", "doc_id", "n_words", "tid", "label", "is_base", "m", "tpos", (F.col("pos") - F.col("tpos")).alias("diagonal"))
     doc = ["row", "doc_id", "n_words"]
     what = ["tid", "label", "is_base", "m"]
     votes = hits.repartition("row").groupBy(*doc, *what, "diagonal").agg(F.collect_set("tpos").alias("seen"))
