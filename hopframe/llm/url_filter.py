@@ -6,8 +6,11 @@ overlap. A capture's host asks for itself and each parent domain; the as-of join
 entry whose interval holds the fetch date, and the longest pattern decides.
 
 Captures are first reduced to their distinct (host, date) pairs, in each task before any
-shuffle, so a host with a third of all captures is one key for each date. Whether a side is
-broadcast is left to the planner's size limit; the other plan is a shuffle join.
+shuffle, so a host with a third of all captures is one key for each date. Suffixes are asked for
+by distinct hosts, without dates, and dealt over ``SALTS`` keys each, as all hosts of a top domain
+ask for its name; a host's few patterns then meet its dates. Captures without a host or date take
+no part in any join. Whether a side is broadcast is left to the planner's size limit; the other
+plan is a shuffle join.
 
 Cases: urls without a host, null urls and null dates match no entry and are kept; entries with
 a null field are ignored; of entries of one pattern and date a block wins; repeated rows are
@@ -19,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hopframe.llm.common import column
+
 #: A dated list of hosts and domains for the pages table.
 ENTRIES = [
     ("cheap-pills.example.com", "2024-01-15", "block"),
@@ -35,6 +40,8 @@ ENTRIES = [
     ("example.org", "2024-11-01", "allow"),
     ("never-seen.example.com", "2024-01-01", "block"),
 ]
+#: Keys over which the hosts that ask for one suffix are dealt.
+SALTS = 16
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
 
 
@@ -51,14 +58,20 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 def judged(captures: DataFrame, entries: DataFrame, id_col: str, url_col: str, date_col: str) -> DataFrame:
     """Per capture: its id, host, fetched_on, and pattern, action and valid_from of the entry that decides, else nulls."""
-    seen = captures.select(F.col(f"`{id_col}`").alias(id_col), host(F.col(f"`{url_col}`")).alias("host"), F.col(f"`{date_col}`").cast("date").alias("fetched_on"))
-    asked = seen.where("host is not null and fetched_on is not null").groupBy("host", "fetched_on").agg(F.count("*").alias("n"))
+    seen = captures.select(column(id_col).alias(id_col), host(column(url_col)).alias("host"), column(date_col).cast("date").alias("fetched_on"))
+    known = F.col("host").isNotNull() & F.col("fetched_on").isNotNull()
+    asked = seen.where(known).groupBy("host", "fetched_on").agg(F.count("*").alias("n")).select("host", "fetched_on")
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    asked = asked.select("host", "fetched_on", F.explode(suffixes).alias("pattern"))
-    active = asked.join(intervals(entries), "pattern").where("valid_from <= fetched_on and (valid_to is null or fetched_on < valid_to)")
+    hosts = seen.where(known).select("host").distinct()
+    salted = hosts.select("host", F.pmod(F.xxhash64("host"), F.lit(SALTS)).cast("int").alias("salt"), F.explode(suffixes).alias("pattern"))
+    listed = intervals(entries).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    matched = salted.join(listed, ["pattern", "salt"]).drop("salt")
+    active = asked.join(matched, "host").where("valid_from <= fetched_on and (valid_to is null or fetched_on < valid_to)")
     best = active.groupBy("host", "fetched_on").agg(F.max_by(F.struct("pattern", "action", "valid_from"), F.length("pattern")).alias("e"))
-    return seen.join(best, ["host", "fetched_on"], "left").select(id_col, "host", "fetched_on", "e.pattern", "e.action", "e.valid_from")
+    found = seen.where(known).join(best, ["host", "fetched_on"], "left").select(id_col, "host", "fetched_on", "e")
+    rest = seen.where(~known).select(id_col, "host", "fetched_on", F.lit(None).cast(best.schema["e"].dataType).alias("e"))
+    return found.unionByName(rest).select(column(id_col), "host", "fetched_on", "e.pattern", "e.action", "e.valid_from")
 
 
 def blocked(captures: DataFrame, entries: DataFrame, id_col: str, url_col: str, date_col: str) -> DataFrame:
