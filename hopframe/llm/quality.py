@@ -1,44 +1,47 @@
 """Quality by co-training: a text view and a metadata view teach each other.
 
 The text view is a logistic classifier over measures of a text's form; the metadata view is one
-over source, language and length classes, hashed. Both start from labelled rows. In each round
-either view labels all unlabelled rows in Spark. Of those it is sure of, as many of each class as
-the labels' shares ask for, dealt by hash over the sources and languages in turn, become training
-rows of the other view, each weighted by how many sure rows of its source and language it stands
-for. At the end each view is
-calibrated on labelled rows it did not train on, weighted to the classes' shares of all labels,
-and a document's score adds both views' log odds, each weighted by how well that view did there.
+over source and language and their pair, hashed, and sees nothing of the text. Both start from
+labelled rows. In each round either view scores all unlabelled rows in Spark, and those that it is
+surest of, as many of each class as the labels' shares ask for, become training rows of the other
+view. A pseudo-label weighs by how well its teacher separates the classes on labelled rows that
+it did not train on, so a view that knows little teaches little.
+At the end each view is calibrated on one part of the labelled rows that neither trained on,
+weighted to the classes' shares of all labels, and a document's score adds both views' log odds,
+each weighted by how well that view did on another such part.
 
 The fit in numpy reads at most ``most_rows`` labelled rows of each class, those of the smallest
 hashes of their ids, and the pseudo-labelled rows; every document is then scored on its whole text.
 
 Cases: null and empty texts have the form of an empty text; null metadata is a value of its own;
-repeated rows are scored each, and handed over once; rows with a null id are unlabelled; null labels and unknown ids are ignored; a null id is scored;
-with no or one class of labels every score is that class's share, 0.5 where there is none.
+texts of any length are read whole; repeated rows are scored each, and handed over once; of equally
+sure rows the smallest hashes go first; rows with a null id are unlabelled, and scored; null labels
+and unknown ids are ignored; extra columns, whatever their names, are ignored or kept; an empty
+table gives no rows; with no or one class of labels every score is that class's share, 0.5 where
+there is none.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hopframe.llm.common import drop_written, map_rows, written
+from hopframe.llm.common import Scratch, map_rows
 from hopframe.llm.toxicity import calibrate, class_weights
 
 MOST_ROWS = 2000
 #: Rounds of exchange, and pseudo-labels that a view hands over in a round.
 ROUNDS, EXCHANGED = 4, 200
-#: The probability from which a view is sure of a row, and the weight of a pseudo-label on average.
-SURE, TOLD_WEIGHT = 0.9, 0.3
+#: The weight of a pseudo-label whose teacher tells the classes apart perfectly.
+TOLD_WEIGHT = 0.3
 META_BUCKETS = 512
-META = ("source", "lang", "n_chars")
+META = ("source", "lang")
 
 _CLASSES = np.zeros(256, np.int64)  # 0 other bytes
 for _c in range(256):
@@ -50,7 +53,12 @@ def form(text: str | None) -> list[float]:
     """Measures of a text's form: shares of characters, of words and lines that repeat, lengths."""
     raw = (text or "").encode()
     n = max(1, len(raw))
-    by = np.bincount(_CLASSES[np.frombuffer(raw, np.uint8)], minlength=8) / n
+    data = np.frombuffer(raw, np.uint8)
+    kinds = _CLASSES[data]
+    by = np.bincount(kinds, minlength=8) / n
+    mark, gap = (kinds == 4) | (kinds == 5), kinds >= 6
+    doubled = (mark[1:] & (data[1:] == data[:-1])).sum()
+    alone = (mark[1:-1] & gap[:-2] & gap[2:]).sum()
     upper = by[2] + 2 * len(_UPPER.findall(raw)) / n
     words = raw.split()
     w = max(1, len(words))
@@ -59,19 +67,18 @@ def form(text: str | None) -> list[float]:
     pairs = len(set(zip(words, words[1:], strict=False))) / max(1, len(words) - 1)
     lines = [x for x in raw.split(b"\n") if x.strip()]
     k = max(1, len(lines))
-    odd = raw.count(b" | ") + raw.count(b"!!") + raw.count(b"***") + raw.count(b"###") + raw.count(b"%%%") + raw.count(b"$$$") + raw.count(b"&&&")
     return [
         1.0, by[0], by[1], upper, by[3], by[4], by[5], by[6], by[7],
         distinct / w, np.log1p(w) / 10, distinct / w * np.log1p(w) / 5, same, pairs, len(set(lines)) / k, np.log1p(k) / 5,
-        min(3.0, sum(map(len, words)) / w / 10), min(2.0, odd / w), upper / max(1e-3, upper + by[1]),
+        min(3.0, sum(map(len, words)) / w / 10), min(2.0, doubled / w), min(2.0, alone / w), upper / max(1e-3, upper + by[1]),
         float(not words), min(2.0, np.log1p(len(raw) / k) / 6),
     ]
 
 
 def metadata(values: tuple) -> list[int]:
-    """Hashed features: each value, lengths by powers of two, and the pair of the first two."""
-    told = [f"{i}={int(np.log2(v + 1)) if isinstance(v, int) and v >= 0 else v}" for i, v in enumerate(values)]
-    told.append("&".join(told[:2]))
+    """Hashed features: each value, and the pair."""
+    told = [f"{i}={v}" for i, v in enumerate(values)]
+    told.append("&".join(told))
     return [xxhash.xxh32_intdigest(x) % META_BUCKETS for x in told]
 
 
@@ -133,20 +140,19 @@ def _separation(lead: np.ndarray, y: np.ndarray) -> float:
 
 @dataclass
 class Views:
-    """Both views in a round: weights, calibrations, and the centre of text measures."""
+    """Both views in a round: weights, and the centre of text measures."""
 
     theta: list[np.ndarray]
-    curves: list[tuple[float, float]]
     mean: np.ndarray
     spread: np.ndarray
 
-    def scores(self, forms: np.ndarray, metas: list[list[int]]) -> list[np.ndarray]:
-        leads = (((forms - self.mean) / self.spread) @ self.theta[0], _dense(metas) @ self.theta[1])
-        return [1 / (1 + np.exp(-np.clip(a * x + b, -30, 30))) for x, (a, b) in zip(leads, self.curves, strict=True)]
+    def leads(self, forms: np.ndarray, metas: list[list[int]]) -> list[np.ndarray]:
+        m = np.array([self.theta[1][r].sum() for r in metas]) + self.theta[1][-1]
+        return [((forms - self.mean) / self.spread) @ self.theta[0], m]
 
 
-#: (row, weight, measures of its text, hashed metadata) of each row that a view hands over, by (view, class).
-Told = dict[tuple[int, int], list[tuple[int, float, bytes, bytes]]]
+#: (row, measures of its text, hashed metadata) of each row that a view hands over, by (view, class).
+Told = dict[tuple[int, int], list[tuple[int, bytes, bytes]]]
 
 
 def co_train(
@@ -162,8 +168,8 @@ def co_train(
     mean, spread = raw.mean(0), raw.std(0) + 1e-3
     mean[0], spread[0] = 0, 1  # the constant stays
     views = [(raw - mean) / spread, _dense([metadata(m) for m in metas])]
-    kept = np.arange(len(y)) % 4 == 0  # for calibration
-    train = np.flatnonzero(~kept)
+    place = np.arange(len(y)) % 8
+    train, drawn, judged = np.flatnonzero(place % 4 > 0), np.flatnonzero(place == 0), np.flatnonzero(place == 4)
     extra: list[dict[int, tuple]] = [{}, {}]  # row: its class, weight and features in the view
     decay = (1e-3, 1e-2)
     balance = lambda v: np.where(v > 0, share / max(v.mean(), 1e-3), (1 - share) / max(1 - v.mean(), 1e-3))
@@ -176,17 +182,16 @@ def co_train(
 
     theta = [fit(0), fit(1)]
     for _ in range(rounds if ask else 0):
-        sure = [calibrate(views[v][train] @ theta[v], y[train], weight=class_weights(y[train], share)) for v in (0, 1)]
-        got = ask(Views(theta, sure, mean, spread), [set(extra[1]), set(extra[0])], [round(exchanged * (1 - share)), round(exchanged * share)])
+        worth = [TOLD_WEIGHT * _separation(views[v][drawn] @ theta[v], y[drawn]) for v in (0, 1)]
+        got = ask(Views(theta, mean, spread), [set(extra[1]), set(extra[0])], [max(1, round(exchanged * (1 - share))), max(1, round(exchanged * share))])
         if not any(got.values()):
             break
         for (v, tag), rows in got.items():
-            for key, weight, x, m in rows:
-                extra[1 - v][key] = (tag, weight, _dense([np.frombuffer(m, "<u2").tolist()])[0] if v == 0 else (np.frombuffer(x) - mean) / spread)
+            for key, x, m in rows:
+                extra[1 - v][key] = (tag, worth[v], _dense([np.frombuffer(m, "<u2").tolist()])[0] if v == 0 else (np.frombuffer(x) - mean) / spread)
         theta = [fit(0), fit(1)]
-    held = [views[v][kept] @ theta[v] for v in (0, 1)]
-    curves = tuple(calibrate(x, y[kept], weight=class_weights(y[kept], share)) for x in held)
-    trust = [_separation(x, y[kept]) for x in held]
+    curves = tuple(calibrate(views[v][drawn] @ theta[v], y[drawn], weight=class_weights(y[drawn], share)) for v in (0, 1))
+    trust = [_separation(views[v][judged] @ theta[v], y[judged]) for v in (0, 1)]
     total = trust[0] ** 2 + trust[1] ** 2  # a weak view counts by the square of what it knows
     trust = tuple(t**2 / total if total else 0.0 for t in trust)
     prior = float(np.log(share / (1 - share))) if 0 < share < 1 else 0.0
@@ -194,72 +199,59 @@ def co_train(
 
 
 def unlabelled(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """A written table of all rows without a label: _key (a hash of the row), source, lang, x (text measures), m (hashed metadata)."""
+    """All rows without a label: _key (a hash of the row), x (text measures), m (hashed metadata)."""
 
     def run(batches):
         for keys, ids, texts, *metas in batches:
             x = [np.array(form(t)).tobytes() for t in texts]
             m = [np.array(metadata(v), "<u2").tobytes() for v in zip(*metas, strict=True)]
-            yield keys, ids, metas[0], metas[1], x, m
+            yield keys, ids, x, m
 
     keyed = docs.select(F.xxhash64("doc_id", "text", *META).alias("_key"), "doc_id", "text", *META)
     kind = docs.schema["doc_id"].dataType
-    columns = [("_key", "long"), ("doc_id", kind.simpleString()), ("text", "string"), ("source", "string"), ("lang", "string"), ("n_chars", "long")]
-    out = [("_key", "long"), ("_id", kind), ("source", "string"), ("lang", "string"), ("x", "binary"), ("m", "binary")]
-    return written(map_rows(keyed, columns, out, run).join(known.select("_id"), "_id", "left_anti").drop("_id"))
+    columns = [("_key", "long"), ("doc_id", kind.simpleString()), ("text", "string"), *((c, "string") for c in META)]
+    out = [("_key", "long"), ("_id", kind), ("x", "binary"), ("m", "binary")]
+    return map_rows(keyed, columns, out, run).join(known.select("_id"), "_id", "left_anti").drop("_id")
 
 
 def told_by(pool: DataFrame, views: Views, taken: list[set], most: list[int]) -> Told:
-    """What either view hands over of all rows of ``pool``.
+    """What either view hands over of all rows of ``pool``: those of the highest leads as class 1, of the lowest as class 0.
 
     ``taken``: rows that a view has handed over before. ``most``: how many it hands over of each class.
-    Sources and languages take turns, rows of one by hash; a task keeps no more of one than could be chosen.
+    A task keeps no more than could be chosen; of equal leads the smaller hashes.
     """
     shared = pool.sparkSession.sparkContext.broadcast((views, taken, most))
 
     def run(batches):
         views, taken, most = shared.value
-        count, picked = Counter(), {}
-        for keys, sources, langs, xs, ms in batches:
-            if not keys:
-                continue
-            scores = views.scores(np.frombuffer(b"".join(xs)).reshape(len(xs), -1), np.frombuffer(b"".join(ms), "<u2").reshape(len(ms), -1).tolist())
-            for v, p in enumerate(scores):
-                for i in np.flatnonzero((p >= SURE) | (1 - p >= SURE)).tolist():
-                    group = (v, int(p[i] >= SURE), sources[i], langs[i])
-                    count[group] += 1
-                    if keys[i] in taken[v]:
-                        continue
-                    some = picked.setdefault(group, {})
-                    some[keys[i]] = (xs[i], ms[i])
-                    if len(some) > 2 * most[group[1]] + 50:
-                        picked[group] = {k: some[k] for k in sorted(some)[: most[group[1]]]}
-        rows = [(*g, None, c, None, None) for g, c in count.items()]
-        rows += [(*g, k, 0, *some[k]) for g, some in picked.items() for k in sorted(some)[: most[g[1]]]]
+        best: dict[tuple[int, int], dict] = {(v, tag): {} for v in (0, 1) for tag in (0, 1)}
+        for keys, xs, ms in batches:
+            leads = views.leads(np.frombuffer(b"".join(xs)).reshape(len(xs), -1), np.frombuffer(b"".join(ms), "<u2").reshape(len(ms), -1).tolist())
+            for (v, tag), some in best.items():
+                sure = leads[v] if tag else -leads[v]
+                for i in np.lexsort((keys, -sure))[: most[tag] + len(taken[v])].tolist():
+                    if keys[i] not in taken[v]:
+                        some[keys[i]] = (float(sure[i]), xs[i], ms[i])
+                best[v, tag] = dict(sorted(some.items(), key=lambda r: (-r[1][0], r[0]))[: most[tag]])
+        rows = [(v, tag, key, *r) for (v, tag), some in best.items() for key, r in some.items()]
         for lo in range(0, len(rows), 1000):
             yield tuple(zip(*rows[lo : lo + 1000], strict=True))
 
-    out = [("v", "int"), ("tag", "int"), ("source", "string"), ("lang", "string"), ("_key", "long"), ("c", "long"), ("x", "binary"), ("m", "binary")]
-    group = ["v", "tag", "source", "lang"]
-    found = map_rows(pool, [("_key", "long"), ("source", "string"), ("lang", "string"), ("x", "binary"), ("m", "binary")], out, run)
-    found = found.groupBy(*group, "_key").agg(F.sum("c").alias("c"), F.first("x").alias("x"), F.first("m").alias("m"))
-    each = Window.partitionBy(*group)
-    turn = found.withColumn("of", F.sum("c").over(each)).where("_key is not null").withColumn("turn", F.row_number().over(each.orderBy("_key")))
-    turn = written(turn.where(F.col("turn") <= F.when(F.col("tag") == 1, most[1]).otherwise(most[0])))
-    told = {}
-    for v in (0, 1):
-        for tag in (0, 1):
-            rows = turn.where(f"v = {v} and tag = {tag}").orderBy("turn", F.xxhash64("source", "lang"), "_key").limit(most[tag]).collect()
-            n = Counter((r.source, r.lang) for r in rows)
-            weights = [r.of / n[r.source, r.lang] for r in rows]
-            told[v, tag] = [(r["_key"], TOLD_WEIGHT * w * len(rows) / sum(weights), bytes(r.x), bytes(r.m)) for r, w in zip(rows, weights, strict=True)]
-    drop_written(turn)
+    out = [("v", "int"), ("tag", "int"), ("_key", "long"), ("sure", "double"), ("x", "binary"), ("m", "binary")]
+    told: Told = {}
+    with Scratch() as keep:
+        found = keep(map_rows(pool, [("_key", "long"), ("x", "binary"), ("m", "binary")], out, run))
+        for v in (0, 1):
+            for tag in (1, 0):
+                rows = found.where(f"v = {v} and tag = {tag}").dropDuplicates(["_key"]).orderBy(F.col("sure").desc(), "_key").limit(most[tag]).collect()
+                once = {key for key, *_ in told.get((v, 1), [])}  # in a small table a row may be among both
+                told[v, tag] = [(r["_key"], bytes(r.x), bytes(r.m)) for r in rows if r["_key"] not in once]
     shared.unpersist()
     return told
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Model:
-    """A model of ``labels.quality`` over the columns text, source, lang and n_chars of ``docs``."""
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, rounds: int = ROUNDS) -> Model:
+    """A model of ``labels.quality`` over the columns text, source and lang of ``docs``, after some rounds of exchange."""
     known = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_y")).where("_id is not null and _y in (0, 1)")
     known = known.groupBy("_id").agg(F.max("_y").alias("_y"))
     share = known.agg(F.avg("_y")).first()[0]
@@ -269,12 +261,11 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Model
     rows = docs.select(F.col("doc_id").alias("_id"), *(F.col(c).alias(f"_{c}") for c in ("text", *META))).join(chosen, "_id").collect()
     rows = sorted({(r[0], r[-1], r[1] or "", tuple(r[2:-1])) for r in rows}, key=lambda r: (r[0], r[1], r[2], str(r[3])))
     told = [r[2] for r in rows], [r[3] for r in rows], [r[1] for r in rows]
-    if len(set(told[2])) < 2:
+    if len(set(told[2])) < 2 or not rounds:
         return co_train(*told, float(share or 0.5))
-    pool = unlabelled(docs, known)
-    model = co_train(*told, float(share), lambda *asked: told_by(pool, *asked))
-    drop_written(pool)
-    return model
+    with Scratch() as keep:
+        pool = keep(unlabelled(docs, known))
+        return co_train(*told, float(share), lambda *asked: told_by(pool, *asked), rounds)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
@@ -286,7 +277,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
         for ids, texts, *metas in batches:
             yield ids, shared.value.scores(texts, list(zip(*metas, strict=True))).tolist()
 
-    return map_rows(docs, [(id_col, kind.simpleString()), ("text", "string"), ("source", "string"), ("lang", "string"), ("n_chars", "long")], [("doc_id", kind), ("score", "double")], run)
+    return map_rows(docs, [(id_col, kind.simpleString()), ("text", "string"), *((c, "string") for c in META)], [("doc_id", kind), ("score", "double")], run)
 
 
 def keep_good(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:

@@ -62,7 +62,7 @@ def test_the_bound_on_labelled_rows_leaves_the_base_rate(spark):
     means = []
     for most_rows in (200, 100_000):
         m = quality.fit(d, some, most_rows=most_rows)
-        s = m.scores([x[1] for x in docs], [(x[3], x[2], x[4]) for x in docs])
+        s = m.scores([x[1] for x in docs], [(x[3], x[2]) for x in docs])
         means.append(s.mean())
         assert abs(m.prior - np.log(share / (1 - share))) < 1e-6
         assert (s >= 0.5).all()  # either form is mostly good
@@ -79,6 +79,65 @@ def test_all_unlabelled_rows_are_offered(spark):
         text = " ".join(words) + "." if n < 2100 else " ".join(w.upper() + "!!" for w in words)
         docs.append((i, text, "en", "a" if n < 2100 else "rare", len(text), "x"))
     m = quality.fit(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
-    at = quality.metadata(("rare", "en", 0))[0]
-    assert at not in {x for d in docs if d[3] != "rare" for x in quality.metadata((d[3], d[2], d[4]))}
+    at = quality.metadata(("rare", "en"))[0]
+    assert at not in {x for d in docs if d[3] != "rare" for x in quality.metadata((d[3], d[2]))}
     assert m.meta[at] < 0
+
+
+def auc(scores, y):
+    pos, neg = [s for s, t in zip(scores, y, strict=True) if t], [s for s, t in zip(scores, y, strict=True) if not t]
+    return sum((a > b) + (a == b) / 2 for a in pos for b in neg) / (len(pos) * len(neg))
+
+
+def test_exchange_helps_the_view_that_knows_less(spark):
+    """40 labelled rows; the metadata view learns of sources it has seen no label of. Held-out AUC before and after."""
+    r = random.Random(8)
+    docs, labels = [], []
+    for i in range(900):
+        good = r.random() < 0.6
+        source = f"good{r.randrange(40)}" if good else f"bad{r.randrange(40)}"
+        text = " ".join(r.choice(["stone", "river", "house", "an"]) for _ in range(r.randint(20, 60))) + "."
+        docs.append((i, text if good else text.upper() + "!!", "en", source, 1, "x"))
+        labels.append((i, int(good)))
+    d, some = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels[:40], "doc_id long, quality int")
+    y, found = [q for _, q in labels[40:]], []
+    for rounds in (0, 4):
+        m = quality.fit(d, some, rounds=rounds)
+        metas = [quality.metadata((x[3], x[2])) for x in docs[40:]]
+        found.append(auc([m.meta[a].sum() + m.meta[-1] for a in metas], y))
+        assert auc(m.scores([x[1] for x in docs[40:]], [(x[3], x[2]) for x in docs[40:]]), y) > 0.99
+    assert found[1] > found[0] + 0.1
+
+
+def test_scores_and_rows_handed_over_equal_plain_loops(spark):
+    docs, labels = corpus(160, 9)
+    docs += [docs[120], docs[121], (None, None, None, None, None, None), (9001, "", "", "", 0, "x"), (9002, "Ä x! " * 20_000, "en", "a", 1, "x")]
+    d = spark.createDataFrame(docs, DOCS)
+    m = quality.fit(d, spark.createDataFrame(labels[:80], "doc_id long, quality int, toxic int"))
+    got = sorted((r.doc_id or -1, r.score) for r in quality.score(d, m).collect())
+    want = []
+    for i, text, lang, source, *_ in docs:
+        x = [(a - b) / c for a, b, c in zip(quality.form(text), m.mean, m.spread, strict=True)]
+        leads = sum(a * b for a, b in zip(x, m.text, strict=True)), sum(m.meta[j] for j in quality.metadata((source, lang))) + m.meta[-1]
+        odds = m.prior + sum(t * (a * z + b - m.prior) for t, (a, b), z in zip(m.trust, m.curves, leads, strict=True))
+        want.append((i or -1, 1 / (1 + np.exp(-np.clip(odds, -30, 30)))))
+    assert len(got) == len(docs) and all(a == c and abs(b - e) < 1e-9 for (a, b), (c, e) in zip(got, sorted(want), strict=True))
+    known = spark.createDataFrame([(i,) for i, *_ in docs[:100]], "_id long")
+    pool = quality.unlabelled(d, known)
+    rows = {r["_key"]: (bytes(r.x), bytes(r.m)) for r in pool.collect()}
+    assert pool.count() == len(rows) + 2
+    views = quality.Views([m.text, m.meta], m.mean, m.spread)
+    lead = {k: [float(z[0]) for z in views.leads(np.frombuffer(x)[None], [np.frombuffer(b, "<u2").tolist()])] for k, (x, b) in rows.items()}
+    taken = [set(list(rows)[:5]), set()]
+    told = quality.told_by(pool, views, taken, [4, 9])
+    for v in (0, 1):
+        left = [k for k in rows if k not in taken[v]]
+        sure = sorted(left, key=lambda k: (-lead[k][v], k))[:9]
+        assert [k for k, *_ in told[v, 1]] == sure
+        assert [k for k, *_ in told[v, 0]] == [k for k in sorted(left, key=lambda k: (lead[k][v], k))[:4] if k not in sure]
+
+
+def test_measures_of_form_are_what_they_say():
+    f = quality.form("AB cd!! - 12\ncd cd\n")
+    assert f[4] == 2 / 19 and f[15] > 0 and quality.form(None) == quality.form("")
+    assert f[17] == 1 / 6 and f[18] == 1 / 6 and f[12] == 1 / 6 and f[9] == 5 / 6
