@@ -361,6 +361,8 @@ def field_spans(text: str, numbers: np.ndarray, labels: np.ndarray) -> list[tupl
 def plausible(kind: int, text: str) -> bool:
     """Whether a span of the field can be of its kind: what a pattern's own test refuses is refused here too."""
     digits = _NOT_DIGIT.sub("", text)
+    if kind in (2, 3) and any(c.isalpha() for c in text):
+        return False
     if kind == 0:
         return "@" in text
     if kind == 1:
