@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,6 +58,10 @@ def _path(spark: SparkSession, name: str):
     return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+#: Paths of the tables written so far for the table that :func:`settled` is making.
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 def written(df: DataFrame) -> DataFrame:
     """The rows of ``df`` as a table in the shared folder: its lineage ends there.
 
@@ -71,6 +76,8 @@ def written(df: DataFrame) -> DataFrame:
         files.delete(path, True)
         raise
     files.deleteOnExit(path)
+    if (made := _MADE.get()) is not None:
+        made.append(name)
     return spark.read.schema(df.schema).parquet(name)
 
 
@@ -82,6 +89,21 @@ def drop_written(df: DataFrame) -> None:
         files.delete(path, True)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` gives, as a written table; all else that was written for it is removed, also when it fails."""
+    made: list[str] = []
+    token = _MADE.set(made)
+    try:
+        out = written(make())
+        made.pop()
+        return out
+    finally:
+        _MADE.reset(token)
+        for name in made:
+            path, files = _path(spark, name)
+            files.delete(path, True)
+
+
 class Scratch:
     """Written tables that are all removed when the block ends, also if it fails."""
 
