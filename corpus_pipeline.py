@@ -1,4 +1,13 @@
-"""The corpus pipeline: stages over documents, each over what the one before it kept."""
+"""The corpus pipeline: stages over documents, each over what the one before it kept.
+
+Cases, for every stage and the whole: null and empty texts are documents of an empty text: they
+are scored as such, link with nothing, hold no passage and no personal data, and pack as one end
+token; a null id stays, and its row is kept by every stage that keeps its text; repeated rows
+count as copies, of which one stays where they have words and an id; of linked documents the
+smallest id stays; texts of any length are read whole; extra columns, whatever their names, pass
+through all stages but the last; without labels or benchmark items nothing goes for want of them;
+an empty table gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hopframe.llm import decontam, ngram_join, packing, pii, quality
-from hopframe.llm.common import table, written
+from hopframe.llm.common import drop_written, settled, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +56,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """The last stage's rows, as a written table. A stage's table goes when the next one is written, or fails."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES:
+        try:
+            after = settled(spark, lambda: stage(spark, docs, sf_dir))  # noqa: B023
+        finally:
+            if before is not None:
+                drop_written(before)
+        docs = before = after
+    return docs
