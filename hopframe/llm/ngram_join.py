@@ -1,9 +1,10 @@
 """Exact Jaccard join of word-shingle sets by a token-group matrix.
 
 1. Documents with equal sets form a class, known by its set's digest.
-2. Classes that share minimum hashes are dealt into parts of bounded size. In a part, the first
-   class that is not linked yet takes all those it links with; only such leaders go on, dealt
-   anew, while a part's size keeps them apart. The components of these links are the groups. A
+2. Classes that share minimum hashes with a class of a smaller id are dealt into parts of bounded
+   size, and that class, their pivot, into each of them. In a part, the first class that is not
+   linked yet takes all those it links with, the pivot before others; only such leaders go on,
+   dealt anew, while a part's size keeps them apart. The components of these links are the groups. A
    group of any size is thus linked by about as many tests as it has members, also where many
    of them resemble a class of another group and fail the test against it.
 3. The token-group matrix holds, for the tokens by which a link must show (a prefix in an order
@@ -46,7 +47,7 @@ PART_TOKENS, RUN_TOKENS = 50_000, 1_000_000
 #: Entries of one token that are joined with the matrix in one task.
 TOKEN_ENTRIES = 5_000
 #: Ids that may be broadcast; for more, documents and ids are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 500_000
 
 _SEEDS = np.random.default_rng(7).integers(1, 1 << 63, HASHES, dtype=np.uint64)
 
@@ -122,32 +123,30 @@ def prefixes(docs: DataFrame, ranks, k: int, percent: int, id_col: str, text_col
     return map_rows(asked, [("_no_id", "boolean"), ("_text", "binary")], [("token", "long"), ("d1", "long")], run)
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_col: str, seed: int = 0) -> DataFrame:
-    """(d1, tokens), written: the sets of wanted rows (id, d1), as sorted 64-bit hashes.
+def sets_of(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_col: str, seed: int) -> DataFrame:
+    """The rows of ``wanted``, a written table (id, d1, ...), each with its set's tokens as sorted 64-bit hashes.
 
     A row that repeats another gives the same set again, unless one task sees both.
     """
-    with Scratch() as keep:
-        wanted = keep(wanted.select("id", "d1").distinct())
-        few = wanted.count() <= BROADCAST_IDS
-        hint = F.broadcast if few else lambda df: df
-        picked = docs.select(column(id_col).alias("id"), column(text_col).alias("_text")).join(hint(wanted.select("id").distinct()), "id", "left_semi")
-
-        def run(batches):
-            seen = set()
-            for got, texts in batches:
-                rows = []
-                for i, s in zip(got, shingle_sets(texts, k), strict=True):
-                    d = digests(s, seed)[0]
-                    if (i, d) not in seen:
-                        seen.add((i, d))
-                        rows.append((i, d, s.tobytes()))
-                if rows:
-                    yield tuple(zip(*rows, strict=True))
-
-        kind = picked.schema["id"].dataType
-        found = map_rows(picked, [("id", kind.simpleString()), ("_text", "binary")], [("id", kind), ("d1", "long"), ("tokens", "binary")], run)
-        return written(found.join(hint(wanted), ["id", "d1"], "left_semi").select("d1", "tokens"))
+    few = wanted.count() <= BROADCAST_IDS
+    hint = F.broadcast if few else lambda df: df
+    picked = docs.select(column(id_col).alias("id"), column(text_col).alias("_text")).join(hint(wanted.select("id").distinct()), "id", "left_semi")
+
+    def run(batches):
+        seen = set()
+        for got, texts in batches:
+            rows = []
+            for i, s in zip(got, shingle_sets(texts, k), strict=True):
+                d = digests(s, seed)[0]
+                if (i, d) not in seen:
+                    seen.add((i, d))
+                    rows.append((i, d, s.tobytes()))
+            if rows:
+                yield tuple(zip(*rows, strict=True))
+
+    kind = picked.schema["id"].dataType
+    found = map_rows(picked, [("id", kind.simpleString()), ("_text", "binary")], [("id", kind), ("d1", "long"), ("tokens", "binary")], run)
+    return found.join(hint(wanted), ["id", "d1"])
 
 
 class Part:
@@ -184,35 +183,36 @@ def _runs(batches, keys: int):
 
 
 def led(dealt: DataFrame, percent: int) -> DataFrame:
-    """(d1, leader, n, grp, parts) of rows (part, d1, n, grp, parts, tokens): a class's leader in its part is the
-    first class there, by d1, that it links with and that has no leader but itself."""
+    """(d1, leader, n, grp, parts) of rows (grp, no, d1, id, n, parts, tokens): a class's leader in its part is the
+    first class there, the pivot before others by id, that it links with and that has no leader but itself."""
 
     def run(batches):
-        for _, rows in _runs(batches, 1):
-            rows = list({r[1]: r for r in rows}.values())
+        for _, rows in _runs(batches, 2):
+            rows = list({r[2]: r for r in rows}.values())
             sets = [_tokens(r[5]) for r in rows]
             part, leader = Part(sets, percent), np.full(len(rows), -1)
             for i, s in enumerate(sets):
                 if leader[i] < 0:
                     mine = (leader < 0) & part.links(s)
                     leader[mine] = i
-            yield tuple(zip(*((r[1], rows[j][1], r[2], r[3], r[4]) for r, j in zip(rows, leader.tolist(), strict=True)), strict=True))
+            yield tuple(zip(*((r[2], rows[j][2], r[3], r[0], r[4]) for r, j in zip(rows, leader.tolist(), strict=True)), strict=True))
 
-    columns = [("part", "string"), ("d1", "long"), ("n", "int"), ("grp", "long"), ("parts", "long"), ("tokens", "binary")]
-    return map_rows(dealt.repartition("part").sortWithinPartitions("part", "d1"), columns, [("d1", "long"), ("leader", "long"), *columns[2:5]], run)
+    columns = [("grp", "long"), ("no", "long"), ("d1", "long"), ("n", "int"), ("parts", "long"), ("tokens", "binary")]
+    ordered = dealt.repartition("grp", "no").sortWithinPartitions("grp", "no", F.expr("d1 <> grp"), "id", "d1")
+    return map_rows(ordered, columns, [("d1", "long"), ("leader", "long"), ("n", "int"), ("grp", "long"), ("parts", "long")], run)
 
 
 def opened(rows: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of rows (part, run, meets, d1, tokens): members of a part (meets 0), then classes that meet it (1).
+    """Links (a, b) of rows (grp, no, run, meets, d1, tokens): members of a part (meets 0), then classes that meet it (1).
 
     A class is linked with at most one member, as members are linked with one another.
     """
 
     def run(batches):
         found = []
-        for _, rows in _runs(batches, 2):
+        for _, rows in _runs(batches, 3):
             members, part = {}, None
-            for _, _, meets, d, raw in rows:
+            for _, _, _, meets, d, raw in rows:
                 if not meets:
                     members[d] = raw
                     continue
@@ -227,8 +227,9 @@ def opened(rows: DataFrame, percent: int) -> DataFrame:
         if found:
             yield tuple(zip(*found, strict=True))
 
-    columns = [("part", "string"), ("run", "long"), ("meets", "int"), ("d1", "long"), ("tokens", "binary")]
-    return map_rows(rows.repartition("part", "run").sortWithinPartitions("part", "run", "meets", "d1"), columns, [("a", "long"), ("b", "long")], run)
+    columns = [("grp", "long"), ("no", "long"), ("run", "long"), ("meets", "int"), ("d1", "long"), ("tokens", "binary")]
+    ordered = rows.repartition("grp", "no", "run").sortWithinPartitions("grp", "no", "run", "meets", "d1")
+    return map_rows(ordered, columns, [("a", "long"), ("b", "long")], run)
 
 
 def _classes(docs: DataFrame, k: int, id_col: str, text_col: str, keep: Scratch) -> tuple[int, DataFrame, DataFrame]:
@@ -244,67 +245,69 @@ def _classes(docs: DataFrame, k: int, id_col: str, text_col: str, keep: Scratch)
 
 
 def _dealt(classes: DataFrame) -> DataFrame:
-    """(d1, grp): each class with the smallest class that shares most minimum hashes, and that class with itself."""
-    low = classes.select("d1", F.posexplode("low").alias("pos", "value"))
-    buckets = low.groupBy("pos", "value").agg(F.min("d1").alias("grp"), F.count("*").alias("c")).where("c > 1").drop("c")
-    pairs = low.join(buckets, ["pos", "value"]).where("d1 <> grp").groupBy("d1", "grp").agg(F.count("*").alias("agree"))
+    """(d1, grp): each class with the class of the smallest id that shares most minimum hashes, its pivot, and pivots with themselves."""
+    low = classes.select("d1", "id", F.posexplode("low").alias("pos", "value"))
+    buckets = low.groupBy("pos", "value").agg(F.min_by("d1", "id").alias("grp"), F.count("*").alias("c")).where("c > 1").drop("c")
+    pairs = low.drop("id").join(buckets, ["pos", "value"]).where("d1 <> grp").groupBy("d1", "grp").agg(F.count("*").alias("agree"))
     best = pairs.where(f"agree >= {AGREE}").groupBy("d1").agg(F.max(F.struct("agree", "grp")).alias("b")).select("d1", F.col("b.grp").alias("grp"))
     return best.unionByName(best.select(F.col("grp").alias("d1"), "grp").distinct())
 
 
 def _parts(member: DataFrame, *salt) -> DataFrame:
-    """``member`` (d1, n, grp, ...) with ``parts``, the number of its group's parts, and ``part``, its own."""
+    """``member`` (d1, n, grp, ...) with ``parts``, the number of its group's parts, and ``no``, its own."""
     sizes = member.groupBy("grp").agg(F.ceil(F.sum("n") / PART_TOKENS).alias("parts")).where("parts > 1")
     each = member.join(sizes, "grp", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
-    return each.withColumn("part", F.concat_ws("/", "grp", F.pmod(F.xxhash64("d1", *salt), "parts")))
+    return each.withColumn("no", F.pmod(F.xxhash64("d1", *salt), "parts"))
 
 
 def _grouped(docs: DataFrame, classes: DataFrame, k: int, percent: int, id_col: str, text_col: str, seed: int, keep: Scratch) -> DataFrame:
     """Links (a, b) between classes that share minimum hashes."""
-    active = keep(_dealt(classes).join(classes.select("d1", "n", "id"), "d1"))
-    sets = keep.adopt(sets_of(docs, active, k, id_col, text_col, seed))
-    links, active = None, active.select("d1", "n", "grp")
+    known = classes.select("d1", "n", "id")
+    active, links = _dealt(classes).join(known, "d1"), None
     for turn in count():
-        dealt = _parts(active, F.lit(turn)).join(sets, "d1").select("part", "d1", "n", "grp", "parts", "tokens")
-        found = keep(led(dealt, percent))
+        dealt = _parts(active, F.lit(turn))
+        if not turn:  # a pivot takes part everywhere
+            everywhere = F.when(F.col("d1") == F.col("grp"), F.expr("sequence(0L, parts - 1)")).otherwise(F.array("no"))
+            dealt = dealt.withColumn("no", F.explode(everywhere))
+        dealt = keep(dealt.select("id", "d1", "n", "grp", "no", "parts"))
+        found = keep(led(sets_of(docs, dealt, k, id_col, text_col, seed), percent))
         linked = found.where("d1 <> leader").select(F.col("d1").alias("a"), F.col("leader").alias("b"))
         links = linked if links is None else links.unionByName(linked)
-        split = found.where("parts > 1")
+        split = found.where("parts > 1 and d1 <> grp")
         left, went = split.agg(F.expr("count_if(d1 = leader)"), F.expr("count_if(d1 <> leader)")).first()
-        if 10 * went <= left:  # what is still apart is left to the matrix
+        if 10 * went <= left or not left:  # what is still apart is left to the matrix
             return links
-        active = split.where("d1 = leader").select("d1", "n", "grp")
+        active = split.where("d1 = leader").select("d1", "grp").join(known, "d1")
 
 
 def _met(docs: DataFrame, loads: DataFrame, member: DataFrame, k: int, percent: int, id_col: str, text_col: str, seed: int) -> DataFrame:
-    """(d1, n, part), written: the classes and parts of other groups that meet over a token of their prefixes."""
+    """(d1, n, grp, no), written: the classes and parts of other groups that meet over a token of their prefixes."""
     with Scratch() as keep:
         ranks = docs.sparkSession.sparkContext.broadcast(bucket_ranks(loads))
         post = keep(prefixes(docs, ranks, k, percent, id_col, text_col, seed))
         tokens = post.groupBy("token").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi"), F.ceil(F.count("*") / TOKEN_ENTRIES).cast("int").alias("salts"))
         shared = keep(tokens.where("lo < hi").select("token", "salts"))
         release(docs.sparkSession)
-        entry = keep(post.join(shared, "token").join(member, "d1").select("token", "salts", "d1", "n", "grp", "part").distinct())
+        entry = keep(post.join(shared, "token").join(member, "d1").select("token", "salts", "d1", "n", "grp", "no").distinct())
         keep.drop(post)
         keep.drop(shared)
-        matrix = entry.groupBy("token", "grp", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("salts").alias("salts"))
-        matrix = matrix.select("token", F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"), F.col("grp").alias("p_grp"), F.col("part").alias("p_part"), "least", "most")
+        release(docs.sparkSession)
+        matrix = entry.groupBy("token", "grp", "no").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("salts").alias("salts"))
+        matrix = matrix.select("token", F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"), F.col("grp").alias("p_grp"), F.col("no").alias("p_no"), "least", "most")
         asked = entry.select("token", F.pmod(F.xxhash64("d1"), "salts").cast("int").alias("salt"), "d1", "n", "grp")
         met = asked.join(matrix, ["token", "salt"]).where(f"grp > p_grp and 100 * most >= {percent} * n and {percent} * least <= 100 * n")
-        met = met.groupBy("d1", "n", F.col("p_part").alias("part")).agg(F.count("*").alias("c"), F.min("least").alias("least"), F.max("most").alias("most"))
+        met = met.groupBy("d1", "n", F.col("p_grp").alias("grp"), F.col("p_no").alias("no")).agg(F.count("*").alias("c"), F.min("least").alias("least"), F.max("most").alias("most"))
         rest = f"c + greatest({percent} * n + 99, {percent} * most + 99) div 100 - 1"
-        return written(met.where(f"(100 + {percent}) * ({rest}) >= {percent} * (cast(n as bigint) + least)").select("d1", "n", "part"))
+        return written(met.where(f"(100 + {percent}) * ({rest}) >= {percent} * (cast(n as bigint) + least)").select("d1", "n", "grp", "no"))
 
 
 def _between(docs: DataFrame, classes: DataFrame, member: DataFrame, met: DataFrame, k: int, percent: int, id_col: str, text_col: str, seed: int, keep: Scratch) -> DataFrame:
     """Links (a, b), written, between classes and the parts of other groups that they meet."""
-    runs = keep(met.groupBy("part").agg(F.ceil(F.sum("n") / RUN_TOKENS).alias("runs")))
-    inside = member.join(runs, "part").select("part", F.explode(F.expr("sequence(0, runs - 1)")).alias("run"), F.lit(0).alias("meets"), "d1")
-    asking = met.join(runs, "part").select("part", F.pmod(F.xxhash64("d1"), "runs").alias("run"), F.lit(1).alias("meets"), "d1")
-    rows = keep(inside.unionByName(asking))
-    wanted = classes.select("id", "d1").join(rows.select("d1").distinct(), "d1", "left_semi")
-    sets = keep.adopt(sets_of(docs, wanted, k, id_col, text_col, seed))
-    return keep(opened(rows.join(sets, "d1"), percent))
+    runs = keep(met.groupBy("grp", "no").agg(F.ceil(F.sum("n") / RUN_TOKENS).alias("runs")))
+    inside = member.join(runs, ["grp", "no"]).select("grp", "no", F.explode(F.expr("sequence(0L, runs - 1)")).alias("run"), F.lit(0).alias("meets"), "d1")
+    asking = met.join(runs, ["grp", "no"]).select("grp", "no", F.pmod(F.xxhash64("d1"), "runs").alias("run"), F.lit(1).alias("meets"), "d1")
+    rows = keep(inside.unionByName(asking).join(classes.select("d1", "id"), "d1"))
+    return keep(opened(sets_of(docs, rows, k, id_col, text_col, seed), percent))
 
 
 def join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -316,7 +319,7 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
         groups = keep.adopt(components(links, "a", "b"))
         release(spark)
         member = classes.join(groups.withColumnRenamed("node", "d1"), "d1", "left").select("d1", "n", F.coalesce("component", "d1").alias("grp"))
-        member = keep(_parts(member).select("d1", "n", "grp", "part"))
+        member = keep(_parts(member).select("d1", "n", "grp", "no"))
         met = keep.adopt(_met(docs, first.where("bucket is not null"), member, *where, seed))
         release(spark)
         more = _between(docs, classes, member, met, *where, seed, keep)
