@@ -103,6 +103,6 @@ class Engine:
 
     def explain(self, query: str, mapping: str | None = None) -> Explanation:
         df, _, plan, compiler = self._compiled(query, mapping)
-        labels = sorted({k for k in (*compiler.mapping.vertices, *compiler.mapping.edges) if f"'{k}'" in query or f'"{k}"' in query})
+        labels = sorted(compiler.frames.used)
         mode = self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
         return Explanation(render(parse(query)), [str(p) for p in plan], labels, compiler.notes, df.columns, df._jdf.queryExecution().explainString(mode))

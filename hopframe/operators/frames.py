@@ -51,6 +51,7 @@ class Frames:
     mapping: GraphMapping
     read: object
     cache: dict = field(default_factory=dict)
+    used: set[str] = field(default_factory=set)  # labels whose tables were asked for
 
     def table(self, table: str, datasource: str | None) -> DataFrame:
         key = (table, datasource or self.mapping.datasource)
@@ -74,6 +75,7 @@ class Frames:
     def vertices(self, p: Position) -> DataFrame:
         """All vertices of a position's labels, with their tables' columns."""
         parts = []
+        self.used.update(p.labels)
         for label in p.labels:
             v = self.mapping.vertex(label)
             df = self.table(v.table, v.datasource)
@@ -89,6 +91,7 @@ class Frames:
     def edges(self, p: Position) -> DataFrame:
         """All edges of a position's labels: id, src, dst, other columns."""
         parts = []
+        self.used.update(p.labels)
         for label in p.labels:
             e = self.mapping.edge(label)
             df = self.table(e.table, e.datasource)
