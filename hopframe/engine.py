@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +12,10 @@ from hopframe.operators.frames import Frames
 from hopframe.plans.mapping import GraphMapping
 from hopframe.plans.parser import parse, render
 from hopframe.plans.steps import HOPS, Plan, ordered
-from hopframe.results import to_results
+from hopframe.results import stream, to_results
 from hopframe.sources.registry import Registry
 from hopframe.sources.store import MappingStore
+from hopframe.streaming.refresh import FreshTables
 
 
 #: Partial paths that go into a hop, tried in turn where a limit asks for a few deep paths.
@@ -52,9 +54,12 @@ class Explanation:
 class Engine:
     """Compiles traversals over a mapping. One mapping may be given, or a store with an active one."""
 
-    def __init__(self, spark: SparkSession, mapping: GraphMapping | str | dict | None = None, registry: Registry | None = None, store: MappingStore | None = None, read=None):
+    def __init__(self, spark: SparkSession, mapping: GraphMapping | str | dict | None = None, registry: Registry | None = None, store: MappingStore | None = None, read=None, fresh_seconds: float | None = None):
+        """``fresh_seconds`` keeps tables in executor memory for that long; see :class:`FreshTables`."""
         self.spark, self.registry, self.store = spark, registry or Registry(spark), store or MappingStore()
         self.read = read or self.registry.read
+        if fresh_seconds:
+            self.read = FreshTables(self.read, fresh_seconds).read
         if mapping is not None:
             told = dict(mapping.source) if isinstance(mapping, GraphMapping) else mapping
             self.store.put(told, id="default")
@@ -101,6 +106,13 @@ class Engine:
             df = self.query(query, mapping, backend)
         return to_results(df, shape, most)
 
+    def stream(self, query: str, mapping: str | None = None, backend: str | None = None, most: int | None = None) -> Iterator:
+        """The rows of the result as :meth:`results` gives them, a partition at a time, at most ``most`` if it is given."""
+        df, shape, plan, _ = self._compiled(query, mapping, backend)
+        if deep_limit(plan) is not None:
+            df = self.query(query, mapping, backend)
+        return stream(df if most is None else df.limit(most), shape)
+
     def explain(self, query: str, mapping: str | None = None) -> Explanation:
         df, _, plan, compiler = self._compiled(query, mapping)
         labels = sorted(compiler.frames.used)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import decimal
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
@@ -17,14 +18,24 @@ def plain(v):
     return v.hex() if isinstance(v, (bytes, bytearray)) else v
 
 
+def shaped(names: list[str], shape: str, r) -> object:
+    """One row as the client sees it."""
+    if shape == "path":
+        return [plain(v) for v in r]
+    if shape == "value" and len(names) == 1:
+        return plain(r[0])
+    if shape == "map":
+        return {n: plain(v) for n, v in zip(names, r, strict=True)}
+    return {n: [plain(v)] for n, v in zip(names, r, strict=True) if v is not None}
+
+
 def to_results(df: DataFrame, shape: str, most: int | None = None) -> list:
     """Collect the result for a client; ``most`` bounds the rows that reach it."""
     rows = (df if most is None else df.limit(most)).collect()
+    return [shaped(df.columns, shape, r) for r in rows]
+
+
+def stream(df: DataFrame, shape: str) -> Iterator:
+    """The whole result, a partition at a time."""
     names = df.columns
-    if shape == "path":
-        return [[plain(v) for v in r] for r in rows]
-    if shape == "value" and len(names) == 1:
-        return [plain(r[0]) for r in rows]
-    if shape == "map":
-        return [{n: plain(v) for n, v in zip(names, r, strict=True)} for r in rows]
-    return [{n: [plain(v)] for n, v in zip(names, r, strict=True) if v is not None} for r in rows]
+    return (shaped(names, shape, r) for r in df.toLocalIterator(prefetchPartitions=True))

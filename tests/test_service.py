@@ -1,5 +1,6 @@
 """Parser, mappings, sources, store, cached tables and the HTTP service."""
 
+import http.client
 import json
 import threading
 import urllib.error
@@ -145,7 +146,23 @@ def test_http(spark):
         assert status == 200 and answer["results"] == ["x", "y"] and answer["resultCount"] == 2
         assert call("POST", "/gremlin/query", {"gremlin": "g.V().count()"}, **{"X-Mapping-Id": "m2"})[1]["results"] == [2]
         assert call("POST", "/gremlin/query", {"gremlin": "g.V().drop()"})[0] == 400
-        assert "steps" in call("POST", "/query?sql_log=true", {"gremlin": "g.V().count()"})[1]["trace"]
+        for bad in (b"[]", b"null", b'{"gremlin": 5}', b"\xff\xfe", b"{", b'{"gremlin": "g.V().count()", "limit": "x"}'):
+            for path in ("/gremlin/query", "/query/explain", "/mapping/upload", "/mapping/active", "/backends/register"):
+                if b"limit" not in bad or path == "/gremlin/query":
+                    assert call("POST", path, bad)[0] == 400, (path, bad)
+        spark.range(150_001).selectExpr("id", "'n' as name").createOrReplaceTempView("http_many")
+        many = {"vertices": {"M": {"table": "http_many", "properties": {"name": "name"}}}}
+        assert call("POST", "/mapping/upload?activate=false", {"mapping": many, "id": "many"})[0] == 201
+        ask = lambda **more: call("POST", "/gremlin/query?mappingId=many", {"gremlin": "g.V().values('id')", **more})[1]
+        answer = ask()
+        assert answer["resultCount"] == len(set(answer["results"])) == 150_001 and "truncated" not in answer
+        assert ask(limit=3)["truncated"] and len(ask(limit=3)["results"]) == 3 and not ask(limit=150_001)["truncated"]
+        assert call("DELETE", "/mapping?id=many")[0] == 200
+        moved = http.client.HTTPConnection("127.0.0.1", server.server_port)
+        moved.request("POST", "/query?mappingId=m1", b"{}")
+        moved = moved.getresponse()
+        assert moved.status == 307 and moved.getheader("Location") == "/gremlin/query?mappingId=m1"
+        assert "steps" in call("POST", "/gremlin/query?sql_log=true", {"gremlin": "g.V().count()"})[1]["trace"]
         assert call("POST", "/gremlin/query", {"gremlin": "g.V().count()"}, **{"X-Backend-Id": "catalog"})[1]["results"] == [2]
         assert call("POST", "/gremlin/query", {"gremlin": "g.V().count()"}, **{"X-Backend-Id": "nowhere"})[0] == 400
         assert "Scan" in call("POST", "/query/explain", {"gremlin": "g.V().count()"})[1]["physical"]
@@ -153,6 +170,9 @@ def test_http(spark):
         assert call("POST", "/mapping/active", {"id": "m2"})[1]["active"] == "m2"
         assert call("DELETE", "/mapping?id=m2")[1] == {"active": "m1", "stored": 1}
         assert call("POST", "/backends/register", {"id": "lake", "path": "/x"}) == (201, {"id": "lake"}) and len(call("GET", "/backends")[1]) == 2
+        assert call("POST", "/backends/register", {"id": "gone", "url": "jdbc:trino://nowhere/x"})[0] == 201
+        status, answer = call("POST", "/gremlin/query", {"gremlin": "g.V().count()"}, **{"X-Backend-Id": "gone"})
+        assert status == 500 and answer["error"]
     finally:
         server.shutdown()
 
