@@ -27,9 +27,14 @@ RAW = ("timestamp", "from_bank", "from_account", "to_bank", "to_account", "amoun
 NORMAL = ("from_bank", "from_account", "to_bank", "to_account", "amount_paid", "payment_currency", "payment_format", "timestamp", "is_laundering", "transaction_id")
 
 
-def raw(spark: SparkSession, path: str) -> DataFrame:
-    """The eleven raw columns of a CSV file with a header, as text."""
-    return spark.read.schema(", ".join(f"{c} string" for c in RAW)).csv(path, header=True, enforceSchema=True, mode="DROPMALFORMED")
+def raw(spark: SparkSession, path: str, max_rows: int | None = None) -> DataFrame:
+    """The eleven raw columns of a CSV file with a header, as text, of at most ``max_rows`` rows if that is given.
+
+    A row with fewer columns goes; of a row with more the first eleven stay.
+    """
+    rows = spark.read.schema(", ".join(f"{c} string" for c in RAW)).csv(path, header=True, enforceSchema=True, mode="PERMISSIVE")
+    rows = rows.where(F.col(RAW[-1]).isNotNull())
+    return rows if max_rows is None else rows.limit(max_rows)
 
 
 def normalised(df: DataFrame) -> DataFrame:
@@ -89,12 +94,27 @@ def graph_tables(spark: SparkSession, t: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def seed(spark: SparkSession, csv_path: str, target: str, form: str = "parquet") -> list[str]:
-    """Write a raw file's graph tables below ``target`` (``<target>/<table>.<form>``), or, for form ``iceberg``, as tables of the catalog namespace ``target``."""
-    tables = graph_tables(spark, normalised(raw(spark, csv_path)))
+def _write(df: DataFrame, target: str, name: str, form: str) -> DataFrame:
+    """Write a table and read it again."""
+    if form == "iceberg":
+        df.writeTo(f"{target}.{name}").using("iceberg").createOrReplace()
+        return df.sparkSession.table(f"{target}.{name}")
+    path = f"{target}/{name}.{form}"
+    df.write.mode("overwrite").format(form).save(path)
+    return df.sparkSession.read.format(form).load(path)
+
+
+def seed(spark: SparkSession, csv_path: str, target: str, form: str = "parquet", max_rows: int | None = None) -> list[str]:
+    """Write a raw file's graph tables below ``target`` (``<target>/<table>.<form>``), or, for form ``iceberg``, as tables of the catalog namespace ``target``.
+
+    The normalised rows are written first, as ``aml_normalised``, and all tables derive from that
+    one table, so they agree in their rows and in the ids of transactions. Hashed ids are checked:
+    two accounts or banks of one id are an error.
+    """
+    normal = _write(normalised(raw(spark, csv_path, max_rows)), target, "aml_normalised", form)
+    tables = graph_tables(spark, normal)
     for name, df in tables.items():
-        if form == "iceberg":
-            df.writeTo(f"{target}.{name}").using("iceberg").createOrReplace()
-        else:
-            df.write.mode("overwrite").format(form).save(f"{target}/{name}.{form}")
+        kept = _write(df, target, name, form)
+        if name in ("aml_accounts", "aml_banks", "aml_transfers") and kept.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+            raise ValueError(f"two rows of {name} have one hashed id")
     return list(tables)

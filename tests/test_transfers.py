@@ -35,3 +35,15 @@ def test_a_raw_file_becomes_a_graph(spark, tmp_path):
     assert engine.results("g.V().hasLabel('Bank').has('bankId','012').values('country')") == [code]
     assert spark.read.parquet(f"{tmp_path}/lake/aml_alerts.parquet").count() == 2
     assert {r.payment_format for r in spark.read.parquet(f"{tmp_path}/lake/aml_transfers.parquet").collect()} == {"Wire", "UNKNOWN", "ACH"}
+
+
+def test_tables_agree_on_rows_that_are_too_short_or_too_long(spark, tmp_path):
+    rows = [ROWS[0], ROWS[1] + ",more,columns", "2022/09/01 00:07,012,B9", ROWS[2]]
+    (tmp_path / "raw.csv").write_text("\n".join([HEAD, *rows]))
+    for most, n in ((None, 3), (2, 2)):
+        transfers.seed(spark, str(tmp_path / "raw.csv"), str(tmp_path / "lake"), max_rows=most)
+        read = lambda t: spark.read.parquet(f"{tmp_path}/lake/{t}.parquet")
+        counts = {read(t).count() for t in ("aml_normalised", "aml_transfers", "aml_transfer_channel")} | {len(read("aml_transfers").collect())}
+        assert counts == {n}
+        assert read("aml_transfers").select("id").distinct().count() == n
+    assert read("aml_accounts").where("account_id = 'B9'").count() == 0
