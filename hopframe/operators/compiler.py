@@ -226,18 +226,24 @@ class Compiler:
         parts, reached, sure = [], {}, True
         for label in labels:
             e = self.mapping.edge(label)
+            p, ways = Position(n, "edge", (label,)), []
             for key, other, to in self._sides(label, direction, at, n):
-                p = Position(n, "edge", (label,))
-                df = self.frames.edges(p)
-                if keep_edge and direction == "both" and key == "dst":  # a loop is one edge
-                    df = df.where(F.col(p.end("src")) != F.col(p.end("dst")))
-                extra = [F.col(p.end(key)).alias("_key"), F.col(p.end(other)).alias("_other"), F.lit(to).alias("_to"), F.lit(label).alias("_edge")]
-                if len(at.labels) > 1:
-                    own = self.mapping.endpoint(e, key == "src", at.labels[0])
-                    extra.append(F.lit(own).alias("_from"))
-                parts.append(df.select(*(df.columns if keep_edge else []), *extra))
+                own = [F.lit(self.mapping.endpoint(e, key == "src", at.labels[0])).alias("_from")] if len(at.labels) > 1 else []
+                ways.append(F.struct(F.col(p.end(key)).alias("_key"), F.col(p.end(other)).alias("_other"), F.lit(to).alias("_to"), *own))
                 reached[to] = None
                 sure &= self.frames.sure_end(e, other == "src", to)
+            if not ways:
+                continue
+            df = self.frames.edges(p)
+            if len(ways) == 1:
+                df = df.withColumn("_way", ways[0])
+            else:  # both directions of an edge in one scan
+                each = F.array(*ways)
+                if keep_edge:  # a loop is one edge
+                    each = F.when(F.col(p.end("src")) == F.col(p.end("dst")), F.array(ways[0])).otherwise(each)
+                df = df.withColumn("_way", F.explode(each))
+            kept = [c for c in df.columns if c != "_way"] if keep_edge else []
+            parts.append(df.select(*kept, "_way.*", F.lit(label).alias("_edge")))
         if not parts:
             raise QueryError(f"{' or '.join(at.labels)} has no {direction} edge {' or '.join(labels)}")
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), tuple(reached), sure
@@ -323,8 +329,11 @@ class Compiler:
             reached.update(dict.fromkeys(sorted(found)))
             parts.append((F.col(e.end(column)), to))
         p = Position(n, "vertex", tuple(reached), loaded=False, sure=sure)
-        frames = [state.df.withColumn(p.id, c).withColumn(p.label, t) for c, t in parts]
-        state.df = reduce(lambda a, b: a.unionByName(b), frames)
+        if len(parts) == 1:
+            state.df = state.df.withColumn(p.id, parts[0][0]).withColumn(p.label, parts[0][1])
+        else:  # both ends of an edge in one scan
+            ends = F.explode(F.array(*(F.struct(c.alias("id"), t.alias("to")) for c, t in parts)))
+            state.df = state.df.withColumn("_end", ends).withColumn(p.id, F.col("_end.id")).withColumn(p.label, F.col("_end.to")).drop("_end")
         if len(reached) == 1:
             state.df = state.df.drop(p.label)
         state.df = state.df.where(F.col(p.id).isNotNull())
