@@ -15,6 +15,8 @@ from hopframe.plans.warehouse import engine
 
 _NEXT = "(SELECT * FROM (SELECT o_orderkey, o_custkey AS s, o_orderstatus, o_totalprice, lead(o_custkey) OVER (ORDER BY o_orderkey) AS t FROM orders) WHERE t IS NOT NULL)"
 
+_CREDIT = "(SELECT c_custkey, c_name, CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS credit FROM customer)"
+
 
 def _reach(n: int, start: str) -> str:
     steps = "".join(f", f{i} AS (SELECT DISTINCT e.t AS v FROM f{i - 1} JOIN e ON e.s = f{i - 1}.v)" for i in range(1, n + 1))
@@ -93,6 +95,15 @@ TRAVERSALS: dict[str, tuple[str, str, tuple[str, ...]]] = {
     "order_parts": ("g.V().hasLabel('Customer').has('mktsegment','MACHINERY').out('PLACED').out('CONTAINS').dedup().count()", "SELECT count(DISTINCT l_partkey) AS count FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE c_mktsegment = 'MACHINERY'", ()),
     "supply_walks": ("g.V().hasLabel('Customer').out('PLACED').out('CONTAINS').out('SUPPLIED_BY').out('SUPPLIER_IN').count()", "SELECT CAST(sum(a.n * b.n) AS BIGINT) AS count FROM (SELECT l_partkey AS p, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey JOIN part ON p_partkey = l_partkey GROUP BY 1) a JOIN (SELECT l_partkey AS p, count(*) AS n FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey GROUP BY 1) b ON a.p = b.p", ()),
     "limit_count": ("g.V().hasLabel('Customer').limit(7).count()", "SELECT least(7, count(*)) AS count FROM customer", ()),
+    "labels_two_hops": ("g.V().hasLabel('Nation').in('CUSTOMER_IN','SUPPLIER_IN').out('CUSTOMER_IN','SUPPLIER_IN').count()", "SELECT (SELECT count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey) + (SELECT count(*) FROM supplier JOIN nation ON s_nationkey = n_nationkey) AS count", ()),
+    "project_after_hop": ("g.V().hasLabel('Region').in('IN_REGION').project('n','i').by('name').by(identity())", "SELECT n_name AS n, CAST(n_nationkey AS BIGINT) AS i FROM nation JOIN region ON n_regionkey = r_regionkey", ()),
+    "project_edge_after_hop": ("g.V(5).hasLabel('Customer').outE('PLACED').project('t','s').by('totalprice').by('orderstatus')", "SELECT o_totalprice AS t, o_orderstatus AS s FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_custkey = 5", ()),
+    "order_ascending": ("g.V().hasLabel('Customer').order().by('acctbal').limit(20).values('custkey')", "SELECT c_custkey AS custkey FROM (SELECT * FROM customer ORDER BY c_acctbal NULLS LAST, c_custkey LIMIT 20)", ()),
+    "order_after_hop": ("g.V().hasLabel('Region').in('IN_REGION').order().by('name',desc).limit(7).values('name')", "SELECT n_name AS name FROM nation JOIN region ON n_regionkey = r_regionkey ORDER BY n_name DESC, n_nationkey LIMIT 7", ()),
+    "limit_before_hop": ("g.V().hasLabel('Customer').order().by('acctbal',desc).limit(5).out('PLACED').values('totalprice')", "SELECT o_totalprice AS totalprice FROM orders JOIN (SELECT * FROM customer ORDER BY c_acctbal DESC NULLS LAST, c_custkey LIMIT 5) ON c_custkey = o_custkey", ()),
+    "has_not_nulls": ("g.V().hasLabel('Credit').hasNot('credit').values('custkey')", "SELECT c_custkey AS custkey FROM customer WHERE c_acctbal < 0", ()),
+    "order_nulls_last": ("g.V().hasLabel('Credit').order().by('credit',desc).limit(1400).values('custkey')", f"SELECT c_custkey AS custkey FROM (SELECT * FROM {_CREDIT} ORDER BY credit DESC NULLS LAST, c_custkey LIMIT 1400)", ()),
+    "order_nulls_last_ascending": ("g.V().hasLabel('Credit').order().by('credit').limit(1400).values('custkey')", f"SELECT c_custkey AS custkey FROM (SELECT * FROM {_CREDIT} ORDER BY credit NULLS LAST, c_custkey LIMIT 1400)", ()),
     "identity": ("g.V().hasLabel('Region').identity().project('id').by(identity())", "SELECT CAST(r_regionkey AS BIGINT) AS id FROM region", ()),
 }
 

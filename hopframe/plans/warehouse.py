@@ -28,6 +28,7 @@ MAPPING = {
         "Customer": {"table": "customer", "idColumn": "c_custkey", "properties": _props("c", "custkey name nationkey acctbal mktsegment")},
         "Supplier": {"table": "supplier", "idColumn": "s_suppkey", "properties": _props("s", "suppkey name nationkey acctbal")},
         "Part": {"table": "part", "idColumn": "p_partkey", "properties": _props("p", "partkey name brand type size retailprice")},
+        "Credit": {"table": "customer_credit", "idColumn": "c_custkey", "properties": _props("c", "custkey name") | {"credit": "credit"}},
         "Order": {"table": "orders", "idColumn": "o_orderkey", "properties": _ORDER},
     },
     "edges": {
@@ -71,6 +72,8 @@ def reader(spark: SparkSession, sf_dir: str):
         if table == "next_order":
             key = (spark.sparkContext.applicationId, sf_dir)
             return _DERIVED.setdefault(key, FreshTables(derived, seconds=600)).read(table)
+        if table == "customer_credit":  # a column with nulls
+            return spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey", "c_name", "if(c_acctbal >= 0, c_acctbal, null) as credit")
         return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
     return read
