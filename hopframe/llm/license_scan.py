@@ -71,14 +71,15 @@ def scan(docs: DataFrame, base: list = BASE, more: list = TEMPLATES, k: int = K,
     Spans are the merged ones: label, first word, end word, covered share of the template.
     """
     told = templates(docs.sparkSession, base, more, k)
-    each = docs.select(column(id_col).alias("doc_id"), words(column(text_col).cast("string")).alias("ws")).withColumn("row", F.monotonically_increasing_id())
-    gram = lambda i: F.struct(*(F.get("ws", i + j).alias(f"w{j}") for j in range(k)))
-    grams = F.transform(F.sequence(F.lit(0), F.greatest(F.size("ws") - k, F.lit(0))), gram)
-    at = each.select("row", "doc_id", F.size("ws").cast("long").alias("n_words"), F.posexplode(grams).alias("pos", "g"))
+    read = docs.select(column(id_col).alias("doc_id"), words(column(text_col).cast("string")).alias("ws"))
+    each = read.withColumn("n_words", F.size("ws").cast("long")).withColumn("row", F.monotonically_increasing_id())
+    shifted = [F.col("ws"), *(F.slice("ws", j + 1, F.size("ws")) for j in range(1, k))]  # zipped: transform is not compiled
+    grams = F.arrays_zip(*(ws.alias(f"w{j}") for j, ws in enumerate(shifted)))
+    at = each.select("row", "doc_id", "n_words", F.posexplode_outer(grams).alias("pos", "g"))
     same = F.xxhash64(*(F.col(f"g.w{j}") for j in range(k))) == F.col("h")
     for j in range(k):
         same = same & (F.col(f"g.w{j}") == F.col(f"g{j}"))
-    hits = at.join(F.broadcast(told), same, "left").where("tid is not null or pos = 0")
+    hits = at.join(F.broadcast(told), same, "left").where("tid is not null or coalesce(pos, 0) = 0")
     hits = hits.select("row", "doc_id", "n_words", "tid", "label", "is_base", "m", "tpos", (F.col("pos") - F.col("tpos")).alias("diagonal"))
     doc = ["row", "doc_id", "n_words"]
     what = ["tid", "label", "is_base", "m"]
