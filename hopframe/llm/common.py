@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,7 +20,7 @@ ALNUM_LOWER = bytes(
 )
 
 #: Rows and bytes that a Python function gets at a time; one row may have more bytes.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -145,6 +146,15 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(lo, step)
 
 
+def give_back() -> None:
+    """Return freed memory to the machine: Spark keeps a Python worker for later tasks, beside those that run."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
 def map_rows(
     docs: DataFrame,
     columns: list[tuple[str, str]],
@@ -160,7 +170,7 @@ def map_rows(
     picked = docs.select(*[column(c).cast(t).alias(f"_{i}") for i, (c, t) in enumerate(columns)])
     schema = T.StructType([T.StructField(n, T.DataType.fromDDL(t) if isinstance(t, str) else t) for n, t in out])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
@@ -168,6 +178,10 @@ def map_rows(
             arrays = [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(cols, arrow, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from mapped(batches)
+        give_back()
+
     return picked.mapInArrow(run, schema)
 
 

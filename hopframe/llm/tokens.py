@@ -67,7 +67,7 @@ class PieceEncoder:
     the token before it has bytes of that character too.
     """
 
-    def __init__(self, path: str, most: int = 500_000, spans: bool = False):
+    def __init__(self, path: str, most: int = 200_000, spans: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
